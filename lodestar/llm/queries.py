@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate
+from lodestar.llm import decontaminate, langid, quality, simhash
 
-_FUNCTIONS = [decontaminate.op9_decontaminate]
+_FUNCTIONS = [quality.op4_quality, langid.op7_langid, simhash.op8_simhash, decontaminate.op9_decontaminate]
 _SQL = {"op9_decontaminate": decontaminate.ORACLE_SQL}
 
 
