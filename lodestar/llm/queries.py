@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, langid, quality, simhash
+from lodestar.llm import decontaminate, huffman, langid, packing, quality, simhash, suffix_dedup
 
-_FUNCTIONS = [quality.op4_quality, langid.op7_langid, simhash.op8_simhash, decontaminate.op9_decontaminate]
+_FUNCTIONS = [quality.op4_quality, suffix_dedup.op5_suffix_dedup, packing.op6_packing, langid.op7_langid, simhash.op8_simhash, decontaminate.op9_decontaminate, huffman.op10_huffman]
 _SQL = {"op9_decontaminate": decontaminate.ORACLE_SQL}
 
 
