@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that they need no copy of it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    target = f"{tempfile.mkdtemp(prefix='lodestar-')}/lodestar.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, str(p.relative_to(package.parent)))
+    context.addPyFile(target)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table by Spark's own reader, so that any store that Spark reads will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +61,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
