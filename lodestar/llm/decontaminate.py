@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm._common import read, runs, texts
@@ -156,13 +156,12 @@ def contamination(spark: SparkSession, documents: DataFrame, benchmark: DataFram
     window; an item with a null id counts under the empty name. An empty benchmark hits nothing.
     Other columns are ignored.
     """
-    docs = documents.select(F.col("doc_id"), F.col("text"))
-    schema = docs.select("doc_id").schema
+    docs = documents.select("doc_id", "text")
     blocks = list(_blocks(benchmark, block_bytes))
     if len(blocks) <= 1:
-        out = _scan(spark, docs, blocks[0] if blocks else [], False)
-        return _verdict(out)
-    return _verdict(_several(spark, docs, blocks, schema))
+        return _verdict(_scan(spark, docs, blocks[0] if blocks else [], False))
+    # a row for each copy of equal rows
+    return _verdict(_several(spark, docs, blocks).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("uid", "copies", "copy"))
 
 
 def _verdict(counts: DataFrame) -> DataFrame:
@@ -191,9 +190,14 @@ def _scan(spark: SparkSession, docs: DataFrame, items: list, raw: bool) -> DataF
     return docs.mapInArrow(scan, f"doc_id {kind}, {'uid long, n_words long, ' if raw else ''}{extra}")
 
 
-def _several(spark: SparkSession, docs: DataFrame, blocks: list, schema) -> DataFrame:
-    """One scan for each block of patterns; a document's hits are merged by its key."""
-    keyed = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+def _uid() -> Column:
+    """Names a row's id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _several(spark: SparkSession, docs: DataFrame, blocks: list) -> DataFrame:
+    """One scan for each block of patterns; a document's hits are merged by its id and uid. copies: how many equal rows it has."""
+    keyed = docs.withColumn("uid", _uid())
     scans = [_scan(spark, keyed, items, True) for items in blocks]
     union = scans[0].groupBy("doc_id", "uid").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words"), F.first("positions").alias("positions"), F.first("items").alias("items"))
     for more in scans[1:]:
@@ -204,9 +208,8 @@ def _several(spark: SparkSession, docs: DataFrame, blocks: list, schema) -> Data
             F.array_union("items", F.coalesce("i2", F.array().cast("array<string>"))).alias("items"),
         )
     return union.select(
-        "doc_id", "n_words", F.size("positions").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
-    ).drop("_copy")
+        "doc_id", "uid", "copies", "n_words", F.size("positions").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+    )
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,12 +217,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-def clean(spark: SparkSession, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns, in one scan when the patterns fit one block."""
-    blocks = list(_blocks(benchmark, 8 << 20))
+def clean(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
+    """The documents that are not contaminated, with all their columns, in one scan if the patterns fit one block."""
+    blocks = list(_blocks(benchmark, block_bytes))
     if len(blocks) > 1:
-        bad = contamination(spark, documents.select("doc_id", "text"), benchmark).filter("contaminated").select("doc_id").distinct()
-        return documents.join(bad, documents["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        bad = _verdict(_several(spark, documents.select("doc_id", "text"), blocks)).filter("contaminated").select(F.col("uid").alias("__bad"))
+        return documents.join(bad, _uid() == F.col("__bad"), "left_anti")
     sent = spark.sparkContext.broadcast(blocks[0] if blocks else [])
     at = documents.columns.index("text")
 
