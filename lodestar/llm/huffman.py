@@ -9,8 +9,8 @@ independently, and here side by side: one table lookup decodes the next id of ev
 Steps: the ids are made once and written to a table (uint16 where the vocabulary allows it); the
 counts are summed from one partial count per task; the table is dealt by range of doc_id and
 sorted within partitions, and each task streams its documents into its file. Memory is bounded by
-the Arrow batch and ``PIECE`` ids. Files are written under a name of the attempt and then renamed,
-so a task that runs again replaces its file with an equal one.
+the Arrow batch and ``PIECE`` ids. A file's name is its attempt's own, and only the files of the
+attempts that counted are listed, so a task may run again.
 
 File: magic, LIMIT, code lengths (uint8 for each id), then segments. A segment is a header of
 uint64 (documents, ids, payload bytes), each document's doc_id, null flag and number of ids, the
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm._common import Workspace, parts, read, runs, texts
-from lodestar.llm.tokens import WordMemo, default_tokenizer
+from lodestar.llm.tokens import PieceMemo, default_tokenizer
 
 LIMIT = 20
 BLOCK = 256
@@ -138,7 +138,7 @@ def _segment(codec: Codec, docs: list[tuple], ids: np.ndarray) -> bytes:
 
 def id_type(tokenizer: str) -> str:
     """The smallest little-endian integers that hold the vocabulary's ids."""
-    return "<u2" if WordMemo.shared(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    return "<u2" if PieceMemo.shared(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def token_table(documents: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
@@ -147,7 +147,7 @@ def token_table(documents: DataFrame, tokenizer: str, end: int | None) -> DataFr
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def scan(batches):
-        memo = WordMemo.shared(tokenizer)
+        memo = PieceMemo.shared(tokenizer)
         for batch in batches:
             for a, b in runs(batch.column("text")):
                 ids, at = memo.ids(list(texts(batch.column("text").slice(a, b - a))), end)
@@ -192,10 +192,9 @@ def write_ids(ws: Workspace, tokens: DataFrame, kind: str, rows_each: int = 20_0
         codec = Codec(sent.value)
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/ids-{TaskContext.get().partitionId():06d}.huf"
-        temporary = f"{name}.{uuid.uuid4().hex}"
+        name = f"ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.huf"  # of this attempt alone
         docs, held, size, total = [], [], 0, 0
-        with fs.open_output_stream(temporary) as out:
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             out.write(MAGIC + struct.pack("<II", LIMIT, len(sent.value)) + sent.value.tobytes())
             for batch in batches:
                 keys = batch.column("doc_id").to_pylist()
@@ -213,11 +212,7 @@ def write_ids(ws: Workspace, tokens: DataFrame, kind: str, rows_each: int = 20_0
                     size += len(ids)
             if docs:
                 out.write(_segment(codec, docs, np.concatenate(held)))
-        if total:
-            fs.move(temporary, name)
-        else:
-            fs.delete_file(temporary)
-        yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[1]] if total else [], pa.string())], ["name"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] if total else [], pa.string())], ["name"])
 
     return [f"{folder}/{r.name}" for r in sorted(ordered.mapInArrow(write, "name string").collect())]
 

@@ -8,8 +8,9 @@ s, s + 1, ... at one offset. The plan depends on the lengths alone, so it is mad
 from at most ``LENGTH`` counts, however many documents there are.
 
 Pieces take slots by joining on (length, rank within length). The rank needs no task that sees all
-pieces of a length: pieces are dealt by (length, salt), numbered within, and the numbers start
-from the sum of the counts of the salts before. Text is read once; only lengths are shuffled.
+pieces of a length: a length has a salt for each ``SALT_ROWS`` of its pieces, pieces are dealt by
+(length, salt) and numbered within, and the numbers start from the sum of the counts of the salts
+before. Text is read once; only lengths are shuffled.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm._common import Workspace, read, runs, schema, texts
-from lodestar.llm.tokens import WordMemo, default_tokenizer
+from lodestar.llm.tokens import PieceMemo, default_tokenizer
 
 LENGTH = 4096
-SALT_ROWS = 20_000
+SALT_ROWS = 500
 
 
 def plan(counts: dict[int, int], room: int = LENGTH) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -78,7 +79,7 @@ def pieces(documents: DataFrame, tokenizer: str, room: int = LENGTH, end: int |
     at = len(keep)
 
     def scan(batches):
-        memo = WordMemo.shared(tokenizer)
+        memo = PieceMemo.shared(tokenizer)
         for batch in batches:
             for a, b in runs(batch.column(at)):
                 ids, ends = memo.ids(list(texts(batch.column(at).slice(a, b - a))), end)
@@ -101,10 +102,11 @@ def pieces(documents: DataFrame, tokenizer: str, room: int = LENGTH, end: int |
 def assign(ws: Workspace, table: DataFrame, room: int = LENGTH, salt_rows: int = SALT_ROWS) -> DataFrame:
     """Give each piece (a written table with length, at most room) its sequence_id and offset."""
     names = table.columns
-    salts = max(1, -(-table.count() // salt_rows))
-    salted = table.withColumn("__salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
+    counts = {r.length: r.n for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `room` rows
+    slots, _ = plan(counts, room)
+    salts = ws.spark.createDataFrame([(n, -(-c // salt_rows)) for n, c in counts.items()], "__length long, __salts long")
+    salted = table.join(F.broadcast(salts), F.col("length") == F.col("__length")).select(*names, F.pmod(F.xxhash64(*names), F.col("__salts")).alias("__salt"))
     counted = ws.save(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")), "counts")
-    slots, _ = plan({r.length: r.n for r in counted.groupBy("length").agg(F.sum("__n").alias("n")).collect()}, room)
     key = np.array([n << 44 | r for n, r, _, _ in slots], np.int64)
     order = np.argsort(key)
     sent = ws.spark.sparkContext.broadcast((key[order], np.array([s for _, _, s, _ in slots], np.int64)[order], np.array([o for *_, o in slots], np.int64)[order]))

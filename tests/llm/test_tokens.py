@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from lodestar.llm import huffman as H
 from lodestar.llm import packing as P
 from lodestar.llm._common import Workspace
-from lodestar.llm.tokens import WordMemo, default_tokenizer
+from lodestar.llm.tokens import PieceMemo, default_tokenizer
 
 TRICKY = ["<|endoftext|> a <|startoftext|>b", "it's we'll I'D", "á é\ńx", "ΣΑΣ ΣΣ", "x\x1cy\x85z\xa0w v\x0bu\x0ct", "１２３ ab12cd", "‍👩‍👩‍👧 ...!!", "İstanbul ǅ ß", "", " "]
 
@@ -23,15 +23,41 @@ def documents(spark):
     return [(r.doc_id, r.text) for r in real(spark).collect()] + [(10_000 + r[0] if r[0] else None, r[1]) for r in EDGE] + [(20_000 + i, t) for i, t in enumerate(TRICKY)]
 
 
+SIGNS = ["it's o'tree 's's ''s -'s x'll 'LL'd'", "ÀÉÞß×÷ øØÿ", "a–b “q” …", "1e5,000.00%$", "x" * 5000 + " " + "é" * 3000, "don't\tCan't\r\nI'VE", "'", "''", "'t", "a'", "\x0c a\x0bb", "<|ENDOFTEXT|>"]
+
+
 def test_memo_equals_tokenizer(spark):
-    texts = [t or "" for _, t in documents(spark)]
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("ab'stdmlrveé ß.,1 \n<|") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts = [t or "" for _, t in documents(spark)] + SIGNS + noise
     want = exact(texts)
-    for most in (300_000, 50):
-        memo = WordMemo(default_tokenizer(), most)
-        for a in range(0, len(texts), 40):
-            ids, at = memo.ids([t.encode() for t in texts[a : a + 40]])
-            for k, w in enumerate(want[a : a + 40]):
-                assert np.array_equal(ids[at[k] : at[k + 1]], w)
+    for most in (400_000, 50, 3):
+        memo = PieceMemo(default_tokenizer(), most)
+        assert memo.by_model
+        for size in (40, 7):
+            for a in range(0, len(texts), size):
+                ids, at = memo.ids([t.encode() for t in texts[a : a + size]], most=5000)
+                for k, w in enumerate(want[a : a + size]):
+                    assert np.array_equal(ids[at[k] : at[k + 1]], w), texts[a + k][:200]
+            if most < 400_000:
+                break
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    import lodestar.llm.tokens as T
+
+    real_hashes = T.hashes
+    monkeypatch.setattr(T, "hashes", lambda *a: (real_hashes(*a)[0] % np.uint64(7) + np.uint64(1), real_hashes(*a)[1]))
+    text = "several words, all of them with few hashes " * 3
+    ids, _ = PieceMemo(default_tokenizer()).ids([text.encode()])
+    assert np.array_equal(ids, exact([text])[0])
+
+
+def test_a_vocabulary_of_another_kind(monkeypatch):
+    memo = PieceMemo(default_tokenizer())
+    memo.by_model = False
+    ids, _ = memo.ids(["Some text, it's é.".encode()], None)
+    assert ids.tolist() == exact(["Some text, it's é."])[0][:-1].tolist()
 
 
 def test_round_trip(spark):
