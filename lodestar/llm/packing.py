@@ -27,7 +27,7 @@ from lodestar.llm._common import Workspace, read, runs, schema, texts
 from lodestar.llm.tokens import PieceMemo, default_tokenizer
 
 LENGTH = 4096
-SALT_ROWS = 500
+SALT_ROWS = 200
 
 
 def plan(counts: dict[int, int], room: int = LENGTH) -> tuple[list[tuple[int, int, int, int]], int]:
