@@ -20,7 +20,7 @@ MARKS = frozenset(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>", re.S)
+_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
@@ -35,7 +35,7 @@ class Node:
     def step(self) -> str:
         """The tag with its classes (its id if it has none), numbers generalised away."""
         words = self.attributes.get("class", "").split() or self.attributes.get("id", "").split()
-        marks = sorted({x for w in words if (x := re.sub(r"[\d_-]*\d[\w-]*", "", w.lower()).strip("-_"))})
+        marks = sorted({x for w in words if (x := re.sub(r"[\d_-]*\d[\w-]*|>", "", w.lower()).strip("-_"))})
         return ".".join([self.tag, *marks])
 
     def path(self) -> str:
@@ -203,8 +203,12 @@ def best(root: Node) -> tuple[float, Node] | None:
 
 
 def at_path(root: Node, path: str) -> Node | None:
-    """The first container at a generalised path."""
-    for node in elements(root):
-        if node.tag in CONTAINERS and node.path() == path:
+    """The first container at a generalised path; only what agrees with the path so far is looked at."""
+    steps = path.split(">")
+    stack = [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        if depth == len(steps):
             return node
+        stack.extend((c, depth + 1) for c in reversed(node.children) if isinstance(c, Node) and c.step() == steps[depth] and not marked(c))
     return None
