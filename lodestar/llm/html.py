@@ -18,6 +18,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar header masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments commentlist disqus respond reply replies toolbar pagination pager widget".split()
 )
+#: First words of a class that tell what an element has, not what it is.
+ABOUT = frozenset("has have with without no not non is show hide".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 _TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>", re.S)
@@ -27,10 +29,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children")
+    __slots__ = ("tag", "attributes", "parent", "children", "mark")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
-        self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
+        self.tag, self.attributes, self.parent, self.children, self.mark = tag, attributes, parent, [], None
 
     def step(self) -> str:
         """The tag with its classes (its id if it has none), numbers generalised away."""
@@ -48,15 +50,38 @@ class Node:
 
 def marked(node: Node) -> bool:
     """Whether the element is a menu, header, footer, sidebar, notice, advert, form or reader comment."""
-    if node.tag in DROPPED:
-        return True
+    if node.mark is None:
+        node.mark = node.tag in DROPPED or bool(node.attributes) and _named(node)
+    return node.mark
+
+
+def _named(node: Node) -> bool:
     a = node.attributes
-    if not a or node.tag in ("html", "body", "main", "article"):
+    if node.tag in ("html", "body", "main"):
         return False
+    words = f"{a.get('class', '')} {a.get('id', '')}".split()
+    if node.tag == "article":  # its classes tell what it has ("has-comments"), unless it is one whole word
+        return any(w.lower() in ("comment", "comment-body", "ad", "advert", "promo", "related") for w in words)
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    return any(w.lower() in MARKS for w in _WORD.findall(names))
+    for word in words:
+        parts = [x.lower() for x in _WORD.findall(word)]
+        if not ABOUT.isdisjoint(parts[:1]):  # "with-sidebar", "no-header"
+            continue
+        if not MARKS.isdisjoint([*parts, *(x + y for x, y in zip(parts, parts[1:]))]):  # noqa: B905  "SideBar", "nav-bar"
+            return not _holds_article(node)
+    return False
+
+
+def _holds_article(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        for child in stack.pop().children:
+            if isinstance(child, Node):
+                if child.tag == "main" or child.tag == "article" and not marked(child):
+                    return True
+                stack.append(child)
+    return False
 
 
 def parse(html: str) -> Node:

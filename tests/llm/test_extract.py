@@ -22,6 +22,12 @@ def test_article():
     assert E.main_text(page(f"<div class=wrap><div class='post-body p123'>{ARTICLE}</div></div>", "<div id=comments><p>A reader says, at length, that this is wrong.</div>"), None) == WANT
 
 
+def test_classes_that_only_tell_of_a_sidebar():
+    long = "<p>A paragraph, which is long enough, for the score, of a container, on this page.</p>"
+    for open_, close in (("<div class='entry with-sidebar'>", "</div>"), ("<div class='sidebar-right layout'><article class='post has-comments'>", "</article></div>"), ("<div id='headerWrap'><main>", "</main></div>")):
+        assert E.main_text(page(f"{open_}{long}<div class='SideBar'>{long}</div><article class='comment'>{long}</article>{close}"), None) == long[3:-4]
+
+
 def test_host_vote_saves_short_pages(spark):
     good = page(f"<div class='post-{{n}}'>{ARTICLE}</div><div class=teaser><p>Other</p></div>")
     odd = page("<div class='post-9'><p>Short.</p></div><div class=teaser><p>A long teaser, which has, in all, many commas, and words, and more, than the article has on this page.</p></div>")
