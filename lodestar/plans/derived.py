@@ -15,13 +15,21 @@ LX = """lx AS (SELECT lineitem.*, l_shipdate + (l_partkey % 30 + 1) * INTERVAL '
 CX = "cx AS (SELECT customer.*, CAST(10 + c_nationkey AS VARCHAR(10)) || '-000' AS c_phone FROM customer)"
 
 
-def ps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part-supplier pairs with quantity and cost; unique on the two keys."""
+def ps(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None, suppliers: DataFrame | None = None) -> DataFrame:
+    """Part-supplier pairs with quantity and cost; unique on the two keys.
+
+    ``parts`` (p_partkey) and ``suppliers`` (s_suppkey) keep some of the pairs; as they name whole
+    groups, they are applied to the line items, before the aggregation shuffles them.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    if parts is not None:
+        li = li.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    if suppliers is not None:
+        li = li.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"))
+        li.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey"))
         .agg(F.sum("l_quantity").alias("ps_availqty"), F.min(F.col("l_extendedprice") / F.col("l_quantity")).alias("ps_supplycost"))
-    )
+    )
 
 
 def lx(spark: SparkSession, sf_dir: str) -> DataFrame:

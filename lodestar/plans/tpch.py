@@ -55,11 +55,11 @@ def q2(spark, d):
     part = table(spark, d, "part").filter(C("p_size").between(10, 20) & C("p_type").endswith("MO")).select("p_partkey")
     nations = table(spark, d, "nation").join(table(spark, d, "region").filter("r_name = 'EUROPE'"), C("n_regionkey") == C("r_regionkey"))
     here = table(spark, d, "supplier").join(nations, C("s_nationkey") == C("n_nationkey")).select("s_suppkey", "s_name", "s_acctbal", "n_name")
-    offers = ps(spark, d).join(part, C("ps_partkey") == C("p_partkey")).join(here, C("ps_suppkey") == C("s_suppkey"))
-    least = per_key(offers, {"p_partkey": "pk"}, least=F.min("ps_supplycost"))
+    offers = ps(spark, d, part, here)
+    least = per_key(offers, {"ps_partkey": "pk"}, least=F.min("ps_supplycost"))
     return (
-        offers.join(least, (C("p_partkey") == C("pk")) & (C("ps_supplycost") == C("least")))
-        .select("s_acctbal", "s_name", "n_name", "p_partkey", "s_suppkey")
+        offers.join(least, (C("ps_partkey") == C("pk")) & (C("ps_supplycost") == C("least"))).join(here, C("ps_suppkey") == C("s_suppkey"))
+        .select("s_acctbal", "s_name", "n_name", C("ps_partkey").alias("p_partkey"), "s_suppkey")
         .orderBy(C("s_acctbal").desc(), "n_name", "s_name", "p_partkey", "s_suppkey").limit(100)
     )
 
@@ -158,7 +158,7 @@ def q9(spark, d):
     p = table(spark, d, "part").filter(contains("p_name", "red")).select("p_partkey")
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), C("s_nationkey") == C("n_nationkey")).select("s_suppkey", C("n_name").alias("nation"))
     li = table(spark, d, "lineitem").join(p, C("l_partkey") == C("p_partkey")).join(s, C("l_suppkey") == C("s_suppkey"))
-    cost = ps(spark, d).join(p, C("ps_partkey") == C("p_partkey"), "left_semi")
+    cost = ps(spark, d, p)
     profit = revenue() - C("ps_supplycost") * C("l_quantity")
     return (
         li.join(cost, (C("l_partkey") == C("ps_partkey")) & (C("l_suppkey") == C("ps_suppkey")))
@@ -183,7 +183,7 @@ def q10(spark, d):
 SELECT ps_partkey, ROUND(SUM(v), 2) AS value FROM here GROUP BY ps_partkey HAVING SUM(v) > (SELECT SUM(v) * 0.001 FROM here) ORDER BY value DESC, ps_partkey""")
 def q11(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation").filter("n_name = 'NATION_7'"), C("s_nationkey") == C("n_nationkey")).select("s_suppkey")
-    here = ps(spark, d).join(s, C("ps_suppkey") == C("s_suppkey")).select("ps_partkey", (C("ps_supplycost") * C("ps_availqty")).alias("v"))
+    here = ps(spark, d, suppliers=s).select("ps_partkey", (C("ps_supplycost") * C("ps_availqty")).alias("v"))
     sums = here.groupBy("ps_partkey").agg(F.sum("v").alias("v"))
     return sums.filter(C("v") > value(here, F.sum("v") * 0.001)).select("ps_partkey", money(C("v")).alias("value")).orderBy(C("value").desc(), "ps_partkey")
 
@@ -237,7 +237,7 @@ WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#4' AND p_type NOT LIKE 'MEDIU
 GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""")
 def q16(spark, d):
     p = table(spark, d, "part").filter((C("p_brand") != "Brand#4") & ~starts("p_type", "MEDIUM") & C("p_size").isin(49, 14, 23, 45, 19, 3, 36, 9))
-    offers = ps(spark, d).join(p, C("ps_partkey") == C("p_partkey"))
+    offers = ps(spark, d, p).join(p, C("ps_partkey") == C("p_partkey"))
     kept = not_in(offers, "ps_suppkey", table(spark, d, "supplier").filter("s_acctbal < 0"), "s_suppkey")
     return kept.groupBy("p_brand", "p_type", "p_size").agg(F.countDistinct("ps_suppkey").alias("supplier_cnt")).orderBy(C("supplier_cnt").desc(), "p_brand", "p_type", "p_size")
 
@@ -283,7 +283,7 @@ def _q20_offers(spark, d):
     p = table(spark, d, "part").filter(starts("p_name", "red")).select("p_partkey")
     li = table(spark, d, "lineitem").filter((C("l_shipdate") >= ts("1997-01-01")) & (C("l_shipdate") < ts("1998-01-01"))).join(p, C("l_partkey") == C("p_partkey"), "left_semi")
     half = per_key(li, {"l_partkey": "pk", "l_suppkey": "sk"}, half=0.5 * F.sum("l_quantity"))
-    return ps(spark, d).join(half, (C("ps_partkey") == C("pk")) & (C("ps_suppkey") == C("sk")) & (C("ps_availqty") > C("half")))
+    return ps(spark, d, p).join(half, (C("ps_partkey") == C("pk")) & (C("ps_suppkey") == C("sk")) & (C("ps_availqty") > C("half")))
 
 
 def _q20_suppliers(spark, d):
