@@ -7,6 +7,7 @@ own reader unchanged, so any file system that Spark reads (local, HDFS, object s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -14,9 +15,25 @@ TABLES = (
 )
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of the catalog, lazily; columns are pruned and filters pushed down by Spark."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of the catalog, lazily; columns are pruned and filters pushed down by Spark.
+
+    The schema is read from the files' footers once for each path and application, as a catalog
+    would hold it, so that building a plan starts no job. ``refresh`` forgets it.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
+def refresh() -> None:
+    """Forget the schemas of tables whose files were replaced by others."""
+    _SCHEMAS.clear()
 
 
 def load(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
