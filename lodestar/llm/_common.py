@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -10,26 +11,34 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
 _SHIPPED: set[str] = set()
 
 
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that they need no copy of it."""
+    """Send this package to the executors by the shared folder, once for each application, so that they need no copy of it."""
     context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
+    if context.applicationId in _SHIPPED or not (_local(spark) or spark.conf.get("spark.checkpoint.dir", None)):
+        return  # on a cluster without a shared folder the executors need the package themselves
     _SHIPPED.add(context.applicationId)
-    package = Path(__file__).resolve().parent.parent
-    target = f"{tempfile.mkdtemp(prefix='lodestar-')}/lodestar.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    package, packed = Path(__file__).resolve().parent.parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, str(p.relative_to(package.parent)))
-    context.addPyFile(target)
+    folder, name = shared_dir(spark), f"lodestar-{uuid.uuid4().hex[:12]}.zip"
+    fs, root = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+        f.write(packed.getvalue())
+    context.addPyFile(f"{folder}/{name}")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not _local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", base)
