@@ -273,11 +273,11 @@ def topk_project(spark, d):
 # Subqueries
 
 
-@query(f"WITH {PS} SELECT ps_partkey, ROUND(SUM(ps_supplycost * ps_availqty), 2) AS v FROM ps GROUP BY ps_partkey HAVING SUM(ps_supplycost * ps_availqty) > (SELECT SUM(ps_supplycost * ps_availqty) * 0.0006 FROM ps)")
+@query(f"WITH {PS} SELECT ps_partkey, SUM(ps_availqty) AS v FROM ps GROUP BY ps_partkey HAVING SUM(ps_supplycost * ps_availqty) > (SELECT SUM(ps_supplycost * ps_availqty) * 0.0006 FROM ps)")
 def sub_scalar_having(spark, d):
     cost = C("ps_supplycost") * C("ps_availqty")
     limit = value(ps(spark, d), F.sum(cost) * 0.0006)
-    return ps(spark, d).groupBy("ps_partkey").agg(F.sum(cost).alias("s")).filter(C("s") > limit).select("ps_partkey", money(C("s")).alias("v"))
+    return ps(spark, d).groupBy("ps_partkey").agg(F.sum("ps_availqty").alias("v"), F.sum(cost).alias("s")).filter(C("s") > limit).select("ps_partkey", "v")
 
 
 @query("WITH r AS (SELECT l_suppkey, ROUND(SUM(l_extendedprice), 2) AS s FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, s FROM r WHERE s = (SELECT MAX(s) FROM r)")

@@ -149,7 +149,7 @@ def q8(spark, d):
 
 
 @query(f"""WITH {PS}
-SELECT nation, o_year, ROUND(SUM(amount), 2) AS sum_profit FROM (
+SELECT nation, o_year, ROUND(SUM(amount), 4) AS sum_profit FROM (
   SELECT n_name AS nation, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS o_year, l_extendedprice * (1 - l_discount) - ps_supplycost * l_quantity AS amount
   FROM part, supplier, lineitem, ps, orders, nation
   WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%red%')
@@ -163,7 +163,7 @@ def q9(spark, d):
     return (
         li.join(cost, (C("l_partkey") == C("ps_partkey")) & (C("l_suppkey") == C("ps_suppkey")))
         .join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), C("l_orderkey") == C("o_orderkey"))
-        .groupBy("nation", year_of("o_orderdate").alias("o_year")).agg(money(F.sum(profit)).alias("sum_profit")).orderBy("nation", C("o_year").desc())
+        .groupBy("nation", year_of("o_orderdate").alias("o_year")).agg(money(F.sum(profit), 4).alias("sum_profit")).orderBy("nation", C("o_year").desc())
     )
 
 
@@ -180,12 +180,12 @@ def q10(spark, d):
 
 
 @query(f"""WITH {PS}, here AS (SELECT ps_partkey, ps_supplycost * ps_availqty AS v FROM ps, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7')
-SELECT ps_partkey, ROUND(SUM(v), 2) AS value FROM here GROUP BY ps_partkey HAVING SUM(v) > (SELECT SUM(v) * 0.001 FROM here) ORDER BY value DESC, ps_partkey""")
+SELECT ps_partkey, ROUND(SUM(v), 4) AS value FROM here GROUP BY ps_partkey HAVING SUM(v) > (SELECT SUM(v) * 0.001 FROM here) ORDER BY value DESC, ps_partkey""")
 def q11(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation").filter("n_name = 'NATION_7'"), C("s_nationkey") == C("n_nationkey")).select("s_suppkey")
     here = ps(spark, d, suppliers=s).select("ps_partkey", (C("ps_supplycost") * C("ps_availqty")).alias("v"))
     sums = here.groupBy("ps_partkey").agg(F.sum("v").alias("v"))
-    return sums.filter(C("v") > value(here, F.sum("v") * 0.001)).select("ps_partkey", money(C("v")).alias("value")).orderBy(C("value").desc(), "ps_partkey")
+    return sums.filter(C("v") > value(here, F.sum("v") * 0.001)).select("ps_partkey", money(C("v"), 4).alias("value")).orderBy(C("value").desc(), "ps_partkey")
 
 
 @query(f"""WITH {LX}
