@@ -3,8 +3,10 @@
 Each page's containers are scored by their paragraphs, and the best one votes for its generalised
 path: tags with classes from the root, numbers taken out. Votes are summed per host and path in
 Spark. Then each page is extracted at the path that its host chose, so that a page whose own best
-container is wrong (a long notice, a short article) still gives the article. A page that lacks the
-path, or has no text there, falls back to its own best container, and then to what its body holds.
+container is wrong (a long notice, a short article) still gives the article. All elements at the path
+are taken, and the article that they are parts of is completed from what is around them, as a nested
+container scores above the one that holds all sections. A page that lacks the path, or has no text
+there, falls back to its own best container, and then to what its body holds.
 
 Pages are read twice and not shuffled for the votes: a task sends one row per host and path. The
 winners are one row per host; adaptive execution broadcasts them while they are below the session's
@@ -60,13 +62,13 @@ def main_text(raw: str, path: str | None) -> str:
     """The blocks of the article, joined by newlines; empty if the page has none."""
     root = H.parse(raw)
     tried = set()
-    for find in (lambda: H.at_path(root, path) if path else None, lambda: (H.best(root) or (0, None))[1], lambda: root):
-        node = find()
-        if node is None or id(node) in tried:
+    for find in (lambda: H.at_path(root, path) if path else [], lambda: H.at_path(root, own[1].path()) if (own := H.best(root)) else [], lambda: [root]):
+        nodes = find()
+        if not nodes or tried.issuperset(map(id, nodes)):
             continue
-        tried.add(id(node))
-        if found := H.blocks(node):
-            return "\n".join(found)
+        tried.update(map(id, nodes))
+        if any(map(H.blocks, nodes)):
+            return "\n".join(H.article(nodes))
     return ""
 
 

@@ -11,6 +11,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article main section div td body blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+PARAGRAPHS = frozenset("p pre h1 h2 h3 h4 h5 h6 li td".split()) | CONTAINERS
 #: Never part of an article.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe object svg canvas button select textarea input dialog menu title head audio video map noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
@@ -190,12 +192,11 @@ def scores(root: Node) -> list[tuple[float, Node]]:
         if node.tag in CONTAINERS:
             found[id(node)] = [{"article": 30.0, "main": 15.0, "body": -10.0}.get(node.tag, 0.0), node, False]
     for node in elements(root):
-        if node.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", *CONTAINERS):
+        if node.tag in PARAGRAPHS:
             text, links = _own_text(node)
-            size = len(text)
-            if not size:
+            if not text:
                 continue
-            worth = (1 + text.count(",") + min(size / 100, 6)) * (1 - links / size) if size >= 25 or node.tag[0] == "h" else 0.3 * (1 - links / size)
+            worth = _worth(node, text, links)
             up, share = (node if node.tag in CONTAINERS else node.parent), 1.0
             while up is not None and share > 0.2:
                 if id(up) in found:
@@ -206,6 +207,13 @@ def scores(root: Node) -> list[tuple[float, Node]]:
     return [(score, node) for score, node, used in found.values() if used]
 
 
+def _worth(node: Node, text: str, links: int) -> float:
+    if not text:
+        return 0.0
+    size = len(text)
+    return (1 + text.count(",") + min(size / 100, 6)) * (1 - links / size) if size >= 25 or node.tag[0] == "h" else 0.3 * (1 - links / size)
+
+
 def _own_text(node: Node) -> tuple[str, int]:
     """The text of an element without that of blocks within it, and how much of it is links."""
     pieces, links, stack = [], 0, [(c, node.tag == "a") for c in reversed(node.children)]
@@ -227,13 +235,130 @@ def best(root: Node) -> tuple[float, Node] | None:
     return found if found and found[0] >= 1 else None
 
 
-def at_path(root: Node, path: str) -> Node | None:
-    """The first container at a generalised path; only what agrees with the path so far is looked at."""
-    steps = path.split(">")
+def at_path(root: Node, path: str) -> list[Node]:
+    """All containers at a generalised path, in page order; only what agrees with the path so far is looked at.
+
+    Where some of them are mostly links and others are not, those of links are left out.
+    """
+    steps, found = path.split(">"), []
     stack = [(root, 0)]
     while stack:
         node, depth = stack.pop()
         if depth == len(steps):
-            return node
+            found.append(node)
+            continue
         stack.extend((c, depth + 1) for c in reversed(node.children) if isinstance(c, Node) and c.step() == steps[depth] and not marked(c))
-    return None
+    if len(found) > 1:
+        sizes = [_size([x]) for x in found]
+        return [x for x, (size, links) in zip(found, sizes, strict=True) if links <= size / 2] or found
+    return found
+
+
+def article(nodes: list[Node]) -> list[str]:
+    """The blocks of the whole article that some containers, none within another, are parts of.
+
+    A container within an <article> stands for all of the outermost one. What is beside a container,
+    and beside what holds it, up to <main> or <body>, is added where it reads as text: headings before
+    text, paragraphs, lists and tables, and containers with a fifth of the score of those given (other
+    sections beside a section: with a paragraph's score), all with at most half of their text in links.
+    Other articles are not added, and nothing beside an <article> that has a heading of its own.
+    """
+    starts: dict[int, Node] = {}
+    on: set[int] = set()  # the starts and all that hold them
+    beside: set[int] = set()  # those that other text is taken from
+    titled = False
+    for node in nodes:
+        top, up = node, node.parent
+        while up is not None:
+            top, up = up if up.tag == "article" else top, up.parent
+        starts[id(top)] = top
+    for start in starts.values():
+        heads = {x.tag for x in elements(start)} & HEADINGS
+        titled |= "h1" in heads
+        open_, up = start.tag not in ("main", "body") and not (start.tag == "article" and heads), start.parent
+        on.add(id(start))
+        while up is not None:
+            on.add(id(up))
+            if open_ and up.tag in (*CONTAINERS, "center", "form"):
+                beside.add(id(up))
+            open_ = open_ and up.tag not in ("main", "body")
+            up = up.parent
+    least = max(10.0, 0.2 * sum(_score(x) for x in starts.values())) if beside else 0.0
+    root = next(iter(starts.values()), None)
+    while root is not None and root.parent is not None:
+        root = root.parent
+    out: list[str] = []
+    stack: list = [root] if root is not None else []
+    while stack:
+        item = stack.pop()
+        if isinstance(item, list):  # text and inline elements
+            holder = Node("div", {}, None)
+            holder.children = item
+            out += blocks(holder)
+        elif id(item) not in on or id(item) in starts:
+            out += blocks(item)
+        elif id(item) not in beside:
+            stack.extend(c for c in reversed(item.children) if isinstance(c, Node) and id(c) in on)
+        else:
+            before_text = False
+            parts = _parts(item, on)
+            sections = any(isinstance(x, Node) and x.tag == "section" and id(x) in on for x in parts)
+            for part in reversed(parts):  # so that the stack gives them in page order
+                if isinstance(part, Node) and id(part) in on:
+                    before_text = True
+                elif isinstance(part, Node) and part.tag in HEADINGS:
+                    size, links = _size([part])
+                    if not before_text or not size or links > size / 2 or part.tag == "h1" and titled:
+                        continue
+                else:
+                    size, links = _size([part] if isinstance(part, Node) else part)
+                    if not size:
+                        continue
+                    before_text = links <= size / 2 and _reads(part, size, item.tag == "body", 1.0 if sections else least, least)
+                    if not before_text:
+                        continue
+                stack.append(part)
+    return out
+
+
+def _parts(node: Node, on: set[int]) -> list:
+    """The unmarked blocks of an element, and the lists of text and inline elements between them."""
+    out: list = []
+    for child in node.children:
+        if isinstance(child, Node) and (child.tag in BLOCK or id(child) in on):
+            if not marked(child):
+                out.append(child)
+        elif isinstance(child, str) or not marked(child):
+            if not out or isinstance(out[-1], Node):
+                out.append([])
+            out[-1].append(child)
+    return out
+
+
+def _reads(part, size: int, in_body: bool, section: float, least: float) -> bool:
+    if isinstance(part, Node) and part.tag == "article":
+        return False
+    if isinstance(part, Node) and part.tag in CONTAINERS and part.tag != "blockquote":
+        return _score(part) >= (section if part.tag == "section" else least)
+    if in_body:  # a line of its own there is seldom the article's
+        return size >= 80
+    return isinstance(part, Node) or size >= 25
+
+
+def _score(node: Node) -> float:
+    """What all paragraphs within an element are worth."""
+    return sum(_worth(x, *_own_text(x)) for x in elements(node) if x.tag in PARAGRAPHS)
+
+
+def _size(items: list) -> tuple[int, int]:
+    """The characters of text of some nodes, and how many of them are links."""
+    size = links = 0
+    stack = [(x, False) for x in items]
+    while stack:
+        item, linked = stack.pop()
+        if isinstance(item, str):
+            n = len(item.strip())
+            size, links = size + n, links + (n if linked else 0)
+        elif not marked(item):
+            stack.extend((c, linked or item.tag == "a") for c in item.children)
+    return size, links

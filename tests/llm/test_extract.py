@@ -28,6 +28,22 @@ def test_classes_that_only_tell_of_a_sidebar():
         assert E.main_text(page(f"{open_}{long}<div class='SideBar'>{long}</div><article class='comment'>{long}</article>{close}"), None) == long[3:-4]
 
 
+def test_article_is_more_than_its_best_container():
+    text = "A paragraph, with commas, and words, of an article, that is long, " * 9
+    part = lambda n, k: [f"{k}{i}. {text}".strip() for i in range(n)]
+    html = lambda x: "".join(f"<p>{t}" for t in x)
+    a, b, links = part(12, "a"), part(3, "b"), "<ul><li><a href=/x>Another page, of this site, with a long name</a></ul>"
+    for open_, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=wrap>", "</div>")):
+        beside = page(f"{open_}<h1>The title</h1><div class=content>{html(a)}</div><p>Beside it, and not in it.</p>{'' if open_[1] == 'a' else links}{close}")
+        assert E.main_text(beside, None) == "\n".join(["The title", *a, "Beside it, and not in it."])
+        sections = page(f"{open_}<section class=x>{html(a)}</section><section class=y><h2>Second</h2>{html(b)}</section>{close}")
+        assert E.main_text(sections, None) == "\n".join([*a, "Second", *b])
+    two = page(f"<div class=wrap><div class='part p1'>{html(a)}</div><div class=links>{links}</div><div class='part p2'><p>Short.</div></div><div class=teaser><p>Other</div>")
+    assert E.main_text(two, "html>body.has-sidebar>div.wrap>div.p.part") == E.main_text(two, None) == "\n".join([*a, "Short."])
+    menu = page(f"<div class=col>{links}</div><div class=col>{html(b)}</div><h2>More</h2>{links}")
+    assert E.main_text(menu, "html>body.has-sidebar>div.col") == "\n".join(b)
+
+
 def test_host_vote_saves_short_pages(spark):
     good = page(f"<div class='post-{{n}}'>{ARTICLE}</div><div class=teaser><p>Other</p></div>")
     odd = page("<div class='post-9'><p>Short.</p></div><div class=teaser><p>A long teaser, which has, in all, many commas, and words, and more, than the article has on this page.</p></div>")
