@@ -20,6 +20,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar header masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login search share sharing social related recommended comment comments commentlist disqus respond reply replies toolbar pagination pager widget".split()
 )
+#: What can be such a surrounding part; a class or id says nothing of the kind about headings, paragraphs, cells and inline elements.
+MARKABLE = frozenset("div section article ul ol dl table center figure details address fieldset ins".split())
+#: Classes that say it about any element but headings and cells.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense sponsored share sharing breadcrumb breadcrumbs pagination".split())
+#: Words beside a mark that tell no subject ("comment-list", "related-posts"), unlike "related-work" or "social-history".
+PLAIN = frozenset("list lists area box boxes wrap wrapper container holder block inner outer left right top bottom main content primary secondary site page global link links button buttons icon icons bar form field item items post posts article articles story stories news thread panel unit slot row col column section region group by us media widgets text".split())
 #: First words of a class that tell what an element has, not what it is.
 ABOUT = frozenset("has have with without no not non is show hide".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
@@ -66,15 +72,48 @@ def _named(node: Node) -> bool:
         return any(w.lower() in ("comment", "comment-body", "ad", "advert", "promo", "related") for w in words)
     if a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
+    if node.tag not in MARKABLE:
+        return node.tag not in HEADINGS and node.tag not in ("td", "th") and not ADVERTS.isdisjoint(a.get("class", "").lower().split())
     for word in words:
         parts = [x.lower() for x in _WORD.findall(word)]
         if not ABOUT.isdisjoint(parts[:1]):  # "with-sidebar", "no-header"
             continue
-        if not MARKS.isdisjoint([*parts, *(x + y for x, y in zip(parts, parts[1:]))]):  # noqa: B905  "SideBar", "nav-bar"
-            return not _holds_article(node)
+        pairs = [x + y for x, y in zip(parts, parts[1:])]  # noqa: B905  "SideBar", "nav-bar"
+        if MARKS.isdisjoint([*parts, *pairs]):
+            continue
+        other = [x for i, x in enumerate(parts) if x not in MARKS and x not in PLAIN and not any(0 <= j < len(pairs) and pairs[j] in MARKS for j in (i - 1, i))]
+        if other and _has_paragraphs(node, parts):
+            continue
+        if not _holds_article(node):
+            return True
     return False
 
 
+def _has_paragraphs(node: Node, name: list[str]) -> bool:
+    """Whether an element has text like an article's: a paragraph if its heading is its name, two or three otherwise."""
+    score, heading, stack = 0.0, None, [node]
+    while stack:
+        item = stack.pop()
+        if item.tag in HEADINGS:
+            heading = heading if heading is not None else _WORD.findall("".join(_strings(item)))
+        elif item.tag in PARAGRAPHS:
+            text, links = _own_text(item, True)
+            if len(text) >= 25 and links <= len(text) / 2:
+                score += _worth(item, text, links)
+        stack.extend(c for c in reversed(item.children) if isinstance(c, Node) and c.tag not in DROPPED)
+    return score >= (1 if heading and {x.lower() for x in heading} >= set(name) else 3)
+
+
+def _strings(node: Node):
+    stack = [node]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            yield item
+        else:
+            stack.extend(reversed(item.children))
+
+
 def _holds_article(node: Node) -> bool:
     stack = [node]
     while stack:
@@ -214,15 +253,15 @@ def _worth(node: Node, text: str, links: int) -> float:
     return (1 + text.count(",") + min(size / 100, 6)) * (1 - links / size) if size >= 25 or node.tag[0] == "h" else 0.3 * (1 - links / size)
 
 
-def _own_text(node: Node) -> tuple[str, int]:
-    """The text of an element without that of blocks within it, and how much of it is links."""
+def _own_text(node: Node, unmarked: bool = False) -> tuple[str, int]:
+    """The text of an element without that of blocks within it, and how much of it is links. unmarked: marks are not looked at."""
     pieces, links, stack = [], 0, [(c, node.tag == "a") for c in reversed(node.children)]
     while stack:
         child, linked = stack.pop()
         if isinstance(child, str):
             pieces.append(child)
             links += len(child) if linked else 0
-        elif child.tag not in BLOCK and not marked(child):
+        elif child.tag not in BLOCK and (child.tag not in DROPPED if unmarked else not marked(child)):
             stack.extend((c, linked or child.tag == "a") for c in reversed(child.children))
     text = "".join(pieces)
     kept = text.strip()

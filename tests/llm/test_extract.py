@@ -28,6 +28,19 @@ def test_classes_that_only_tell_of_a_sidebar():
         assert E.main_text(page(f"{open_}{long}<div class='SideBar'>{long}</div><article class='comment'>{long}</article>{close}"), None) == long[3:-4]
 
 
+def test_names_made_from_headings_are_no_marks():
+    text = "A paragraph, which is long enough, for the score, of a container, on this page."
+    kept = f"""<article><h1 id=header>The title</h1><p>{text}</p><h2 id="related-work" class="header">Related work</h2><p id="comment-on-it" class="notice">{text}</p>
+<h2 id="search-algorithms">Search algorithms</h2><ul><li id="login">item one<li class="related">item two</ul><table><tr><td class="header">cell<td id="menu">other cell</table>
+<section id="social-history"><h2>Social history</h2><p>A sentence of <span class="search">some</span> length.</p></section><section id="search-trees"><p>{text}</p></section></article>"""
+    want = ["The title", text, "Related work", text, "Search algorithms", "item one", "item two", "cell", "other cell", "Social history", "A sentence of some length.", text]
+    assert E.main_text(page(kept), None) == "\n".join(want)
+    links = "".join(f"<li><a href=/{k}>Another page, of this site, with a long name</a>" for k in range(9))
+    for mark in ("id=related-stories-today", "class=social-bookmarks", "class='related-reading x'", "id=comments", "class=CommentList", "class=sidebar-inner", "id=cookie-notice"):
+        gone = f"<ul>{links}</ul>" if "related" in mark or "social" in mark else f"<p>{text}</p><p>{text}</p>"
+        assert E.main_text(page(f"<article><p>{text}</p><div {mark}><h3>Related</h3>{gone}</div><p class='advertisement'>Advertisement</p></article>"), None) == text
+
+
 def test_article_is_more_than_its_best_container():
     text = "A paragraph, with commas, and words, of an article, that is long, " * 9
     part = lambda n, k: [f"{k}{i}. {text}".strip() for i in range(n)]
