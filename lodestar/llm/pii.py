@@ -33,6 +33,7 @@ from lodestar.llm._common import Workspace, doc_key, read, runs, schema, texts
 
 DEMO_KEY = b"set a key of your own"
 SAME_FORMAT = 8
+PIECE = 200
 MOST_SENT = 50_000
 
 DIGITS, HEX = "0123456789", "0123456789abcdef"
@@ -66,7 +67,7 @@ _SSN = re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _AWS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _MARKED = re.compile(r"(?<!\w)(?:gh[pousr]_|sk-|xox[abprs]-|AIza|glpat-)[A-Za-z0-9_-]{16,}")
-_SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|passwort|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*(?:\"([^\"\n]{4,200})\"|'([^'\n]{4,200})'|([^\s\"',;]{4,200}))")
+_SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|passwort|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*(?:\"([^\"\n]{4,}+)\"|'([^'\n]{4,}+)'|[\"']?([^\s\"',;]{4,}+))")
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(t for x in TITLES.values() for t in x)})\.?[  ]({_CAP})(?:[  ]({_CAP}))?")
 _GIVEN = re.compile(rf"(?<!\w)({'|'.join(_GENDER)})[  ]({_CAP})")
 _TITLE_GENDER = {t: g for g, x in TITLES.items() for t in x}
@@ -131,6 +132,13 @@ class Surrogates:
         self.surrogate = lru_cache(1 << 16)(self._surrogate)
 
     def _mixed(self, label: str, text: str, classes: list[str]) -> str:
+        if len(text) > PIECE:  # a piece goes by those before it, so that the whole is still a permutation
+            out, before = [], hashlib.blake2b(digest_size=16)
+            for a in range(0, len(text), PIECE):
+                own = f"{label}|{before.hexdigest()}" if a else label
+                out.append(self._mixed(own, text[a : a + PIECE], classes[a : a + PIECE]))
+                before.update(text[a : a + PIECE].encode("utf-8", "replace"))
+            return "".join(out)
         n, x = 1, 0
         for c, a in zip(text, classes, strict=True):
             if a:

@@ -98,3 +98,16 @@ def test_edges_and_real(spark):
     assert {r.path for r in out} == {"p"}
     assert P.surrogates(spark, rows(spark, [])).count() == 0
     assert P.rewritten(spark, rows(spark, docs)).columns == rows(spark, []).columns
+
+
+@pytest.mark.parametrize("n", [201, 300, 5000, 200_000])
+@pytest.mark.parametrize("form", ["token={} end", 'token = "{}" end', "api_key: '{}'", 'password="{}'])
+def test_long_secrets(n, form):
+    value = "".join("abcXYZ0189"[(i * i + i // 7) % 10] for i in range(n))
+    text, maker = form.format(value), P.Surrogates()
+    new, kinds = P.replace(text, maker, {})
+    at = form.index("{")
+    mine = new[at : at + n]
+    assert kinds == ["secret"] and len(new) == len(text) and new[:at] + new[at + n :] == form.replace("{}", "")
+    assert not any(mine[k : k + 50] == value[k : k + 50] for k in range(0, n - 49, 50))
+    assert maker.surrogate("secret", value[:-1] + "Q") != mine == maker.surrogate("secret", value)
