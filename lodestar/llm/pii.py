@@ -1,7 +1,8 @@
 """Personal data and secrets replaced by keyed, type-consistent surrogates.
 
 Detection finds e-mail addresses, phone, card, bank and social security numbers, IP addresses,
-access keys and passwords, and names of persons after a title or with a known given name.
+access keys and passwords, and names of persons after a title or with a known given name. A name
+found in a document is then replaced wherever the document has it as a capitalised word by itself.
 
 A surrogate is made by a keyed permutation of the values of the same kind and format (a Feistel
 network over their number, walked until it stays among them, conjugated with a step by one so that
@@ -70,6 +71,11 @@ _MARKED = re.compile(r"(?<!\w)(?:gh[pousr]_|sk-|xox[abprs]-|AIza|glpat-)[A-Za-z0
 _SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|passwort|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*(?:\"([^\"\n]{4,}+)\"|'([^'\n]{4,}+)'|[\"']?([^\s\"',;]{4,}+))")
 _TITLED = re.compile(rf"(?<!\w)({'|'.join(t for x in TITLES.values() for t in x)})\.?[  ]({_CAP})(?:[  ]({_CAP}))?")
 _GIVEN = re.compile(rf"(?<!\w)({'|'.join(_GENDER)})[  ]({_CAP})")
+_WORDS = re.compile(rf"(?<!\w){_CAP}(?!\w)")
+_PART = re.compile(r"[^'’-]+")
+_POSSESSIVE = re.compile(r"['’][sS]\Z")
+#: Words that are no name where they stand by themselves, though one was taken for a name after a given name or title.
+_NO_NAMES = frozenset("a an and are as at but by for from he her his i in is it its my no not of on or our she that the their they this to was we who will with you am auf aus das dem den der die du ein eine er es für ich ihr im ist mit nicht sie und uns von war wir zu au aux ce de des du elle en est et il ils je la le les mais nous ou par pas pour que qui son sur un une vous al con del el ella es la las lo los no por que se si su un una y yo в и к на не но он она они с что я η και ο οι στο τα την της το του".split()) | {t.lower() for x in TITLES.values() for t in x}
 _TITLE_GENDER = {t: g for g, x in TITLES.items() for t in x}
 
 
@@ -256,10 +262,39 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         first, last = (m[2], m[3]) if m[3] else (None, m[2])
         if first:
             found.append((*m.span(2), *_given(first, gender)))
-        found.append((*m.span(3 if first else 2), "name", last.lower()))
+        found.append(_last(*m.span(3 if first else 2), last))
     for m in _GIVEN.finditer(text):
         found.append((*m.span(1), *_given(m[1], "")))
-        found.append((*m.span(2), "name", m[2].lower()))
+        found.append(_last(*m.span(2), m[2]))
+    out = _apart(found)
+    names = {}
+    for *_, kind, value in out:
+        if kind.startswith(("name", "given ")) and value.lower() not in _NO_NAMES:
+            names.setdefault(value.lower(), (kind, value))
+    return _apart(out + _bare(text, names, {x[0] for x in out})) if names else out
+
+
+def _last(start: int, end: int, name: str) -> tuple[int, int, str, str]:
+    name = _POSSESSIVE.sub("", name)
+    return start, start + len(name), "name", name.lower()
+
+
+def _bare(text: str, names: dict[str, tuple[str, str]], starts: set[int]) -> list[tuple[int, int, str, str]]:
+    """The mentions by themselves of names that the document has elsewhere; as they are written there, or in capitals."""
+    found = []
+    for m in _WORDS.finditer(text):
+        if m.start() in starts:
+            continue
+        if (x := names.get(m[0].lower())) is not None:
+            found.append((*m.span(), *x))
+        elif len(m[0]) > 2 and not m[0].isalpha():  # "Weber's", "Weber-Haus"
+            for part in _PART.finditer(m[0]):
+                if part[0][0].isupper() and (x := names.get(part[0].lower())) is not None:
+                    found.append((m.start() + part.start(), m.start() + part.end(), *x))
+    return found
+
+
+def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for x in found:
@@ -289,6 +324,8 @@ def render(kind: str, original: str, canonical: str, surrogate: str) -> str:
     if kind in ("email", "name", "name f", "name m", "ip6"):
         cased = [s.upper() if o.isupper() and len(s.upper()) == 1 else s for o, s in zip(original, surrogate, strict=False)]
         return "".join(cased) + surrogate[len(cased) :]
+    if kind.startswith("given ") and len(original) > 1 and original.isupper():
+        return surrogate.upper()
     return surrogate
 
 

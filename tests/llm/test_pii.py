@@ -111,3 +111,14 @@ def test_long_secrets(n, form):
     assert kinds == ["secret"] and len(new) == len(text) and new[:at] + new[at + n :] == form.replace("{}", "")
     assert not any(mine[k : k + 50] == value[k : k + 50] for k in range(0, n - 49, 50))
     assert maker.surrogate("secret", value[:-1] + "Q") != mine == maker.surrogate("secret", value)
+
+
+def test_bare_mentions_of_names():
+    text = "Weber came. Frau Weber's dog and Anna Petrov; WEBER, Weber-Haus and Weber’s, then Anna, ANNA and Petrov. Webers Annas weber anna. mail Weber@firma-nord.de; Dr. The went. The end, Prof. Who"
+    new, kinds = P.replace(text, P.Surrogates(), {})
+    m = re.fullmatch(r"(\w+) came\. Frau (\w+)'s dog and (\w+) (\w+); (\w+), (\w+)-Haus and (\w+)’s, then (\w+), (\w+) and (\w+)\. Webers Annas weber anna\. mail (\S+); Dr\. (\w+) went\. The end, Prof\. (\w+)", new)
+    assert m[1] == m[2] == m[6] == m[7] == m[5].capitalize() != "Weber" and m[5].isupper()
+    assert m[3] == m[8] == m[9].capitalize() != "Anna" and m[9].isupper() and m[4] == m[10] != "Petrov"
+    assert "weber@" not in m[11].lower() and kinds.count("email") == 1
+    other = "Weber and Anna and Petrov by themselves, in a document without a title or full name."
+    assert P.replace(other, P.Surrogates(), {}) == (other, [])
