@@ -23,6 +23,7 @@ and by a join per document beyond. Otherwise each text is just scanned.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from functools import lru_cache
 
@@ -61,8 +62,14 @@ _GENDER = {n: key for key, names in GIVEN.items() for n in names}
 _CAP = r"[^\W\d_a-zà-öø-ÿα-ωа-я][^\W\d_]+(?:['’-][^\W\d_]+)*"
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])")
 _IP4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")
-_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
-_PHONE = re.compile(r"(?<![\w+.-])(?:\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5}){1,4}|\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}([ .-])[0-9]{3}\1[0-9]{4})(?!\w|[.-][0-9])")
+#: Eight groups, or fewer and a double colon; ipaddress tells which of them are addresses.
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:)|(?<=:):){2,8}(?:[0-9A-Fa-f]{1,4})?(?!\w|:[0-9A-Fa-f:]|\.[0-9])")
+#: Complete numbers of the ten-digit plan end there; others take the groups that follow.
+_PLAN = r"\+1[ .-]?(?:\([2-9][0-9]{2}\)|[2-9][0-9]{2})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[1-9][0-9]{0,2}[ .-]?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}"
+_ABROAD = r"\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[ .-]?[0-9]{2,5})"
+_PHONE = re.compile(rf"(?<![\w+.-])(?:{_PLAN}|{_ABROAD}{{1,4}}|\([2-9][0-9]{{2}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}|[2-9][0-9]{{2}}([ .-])[0-9]{{3}}\1[0-9]{{4}})(?!\w|[.-][0-9])")
+#: The same with fewer groups, for a match with too many digits.
+_SHORTER = [re.compile(rf"(?:{_PLAN})(?!\w)"), *(re.compile(rf"{_ABROAD}{{1,{k}}}(?!\w)") for k in (3, 2, 1))]
 _CARD = re.compile(r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4}){2}(?:\1[0-9]{1,3})?|3[47][0-9]{2}([ -])[0-9]{6}\2[0-9]{5})(?![\w-]|\.[0-9])")
 _SSN = re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -207,9 +214,13 @@ class Surrogates:
             _, gender, script = kind.split(" ")
             names = GIVEN[gender, script]
             return names[self.permute(names.index(value), len(names), label)] + more * "a"
+        if kind == "ip6":  # groups of zeros stay, so that the address can be shortened in the same place
+            value += "0" * more
+            classes = [HEX[1:] if k == 0 or value[k - 1] == ":" else HEX for k in range(len(value))]
+            return self._mixed(label, value, ["" if c == ":" or c == "0" and a != HEX else a for c, a in zip(value, classes, strict=True)])
         value += "0" * more
         keep = 4 if kind == "aws" else len(re.match(r"(?:gh[pousr]_|sk-|xox[abprs]-|AIza|glpat-)?", value)[0])
-        whole_hex = kind == "ip6" or len(value) >= 16 and not set(value) - set(HEX)
+        whole_hex = len(value) >= 16 and not set(value) - set(HEX)
         alphabets = [HEX] if whole_hex and kind != "ssn" else _LETTERS
         return self._mixed(label, value, [""] * keep + _classes(value[keep:], alphabets))
 
@@ -233,7 +244,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             for m in _SECRET.finditer(text):
                 k = next(i for i in (1, 2, 3) if m[i] is not None)
                 found.append((*m.span(k), "secret", m[k]))
-        found += [(*m.span(), "ip6", m[0].lower()) for m in _IP6.finditer(text)]
+        found += [(*m.span(), "ip6", x) for m in _IP6.finditer(text) if (x := _ip6(m[0])) is not None]
     if "@" in text:
         found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text) if len(m[0].lower()) == len(m[0])]
     if "AKIA" in text or "ASIA" in text:
@@ -251,12 +262,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if value[0] in "23456" and luhn(value[:-1]) == int(value[-1]):  # other long numbers are no cards
                 found.append((*m.span(), "card", value))
         found += [(*m.span(), "ssn", m[0].replace("-", "")) for m in _SSN.finditer(text)]
-        for m in _PHONE.finditer(text):
-            value = re.sub(r"\D", "", m[0])
-            if 8 <= len(value) <= 15:
-                head = value[: max(0, len(value) - 10)] if m[0][0] == "+" else ""
-                # +1 and a bare ten-digit number are one entity
-                found.append((*m.span(), "phone", f"{'' if head == '1' else head} {value[len(head) :]}"))
+        for a, b in _phones(text):
+            value = re.sub(r"\D", "", text[a:b])
+            head = value[: max(0, len(value) - 10)] if text[a] == "+" else ""
+            # +1 and a bare ten-digit number are one entity
+            found.append((a, b, "phone", f"{'' if head == '1' else head} {value[len(head) :]}"))
     for m in _TITLED.finditer(text):
         gender = _TITLE_GENDER[m[1]]
         first, last = (m[2], m[3]) if m[3] else (None, m[2])
@@ -304,6 +314,32 @@ def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str,
     return out
 
 
+def _phones(text: str):
+    """(start, end) of phone numbers of 8 to 15 digits; of a longer match, as many groups as are one."""
+    at = 0
+    while (m := _PHONE.search(text, at)) is not None:
+        digits = sum(c.isdigit() for c in m[0])
+        if digits > 15:
+            m = next((x for p in _SHORTER if (x := p.match(text, m.start())) and 8 <= sum(c.isdigit() for c in x[0]) <= 15), m)
+            digits = sum(c.isdigit() for c in m[0])
+        if 8 <= digits <= 15:
+            yield m.span()
+            at = m.end()
+        else:
+            at = m.start() + 1
+
+
+def _ip6(text: str) -> str | None:
+    """The eight groups of an address without leading zeros; none if it is no address, or names no host."""
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    if value < 2 or not any(c in DIGITS for c in text) and text.count(":") < 3:  # "a::b" is code
+        return None
+    return ":".join(f"{value >> 16 * k & 0xFFFF:x}" for k in range(7, -1, -1))
+
+
 def _given(name: str, gender: str) -> tuple[str, str]:
     if name in _GENDER:
         return f"given {' '.join(_GENDER[name])}", name
@@ -321,7 +357,14 @@ def render(kind: str, original: str, canonical: str, surrogate: str) -> str:
         for p, c in zip(places, new, strict=False):
             out[p] = c
         return "".join(out) + new[own:]
-    if kind in ("email", "name", "name f", "name m", "ip6"):
+    if kind == "ip6":
+        new = surrogate.split(":")
+        head, gap, tail = original.partition("::")
+        head, tail = head.split(":") if head else [], tail.split(":") if tail else []
+        first, last = ([x.zfill(len(o)) for o, x in zip(own, part, strict=False)] for own, part in ((head, new), (tail, new[len(new) - len(tail) :])))
+        out = ":".join(first) + gap + ":".join(last)
+        return out.upper() if original.upper() == original != original.lower() else out
+    if kind in ("email", "name", "name f", "name m"):
         cased = [s.upper() if o.isupper() and len(s.upper()) == 1 else s for o, s in zip(original, surrogate, strict=False)]
         return "".join(cased) + surrogate[len(cased) :]
     if kind.startswith("given ") and len(original) > 1 and original.isupper():

@@ -122,3 +122,28 @@ def test_bare_mentions_of_names():
     assert "weber@" not in m[11].lower() and kinds.count("email") == 1
     other = "Weber and Anna and Petrov by themselves, in a document without a title or full name."
     assert P.replace(other, P.Surrogates(), {}) == (other, [])
+
+
+def test_phones_before_other_numbers():
+    maker, shape = P.Surrogates(), lambda x: re.sub("[0-9]", "0", x)
+    for phone in ("+1 (487) 555-7209", "+1 487.555.7209", "+14875557209"):
+        alone = P.replace(phone, maker, {})[0]
+        for after in ("", " 47369", " 2024", " 12 persons", " 1234 5678 9012", ", 44"):
+            new, kinds = P.replace(f"call {phone}{after}", maker, {})
+            assert kinds == ["phone"] and new == f"call {alone}{after}" and shape(alone) == shape(phone) and alone != phone
+    assert [(a, b) for a, b, *_ in P.detect("+1-487-555-7209-47369 x")] == [(0, 15)]
+    new, kinds = P.replace("tel +49 30 12345 67890 12345 or +44 20 7946 0958", maker, {})
+    assert kinds == ["phone", "phone"] and "12345 67890" not in new and "7946 0958" not in new
+    assert P.replace("no +12345678901234567890 number", maker, {}) == ("no +12345678901234567890 number", [])
+
+
+def test_shortened_ip6():
+    maker = P.Surrogates()
+    for text in ("2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:DB8:0:0:8:800:200C:417A", "2001:db8::", "::a:b:1"):
+        new, kinds = P.replace(f"ip {text}, [{text}]:80 and {text}.", maker, {})
+        a, b, c = re.fullmatch(r"ip (\S+), \[(\S+)\]:80 and (\S+)\.", new).groups()
+        assert kinds == ["ip6"] * 3 and a == b == c != text and len(a) == len(text) and P._ip6(a) and a.count(":") == text.count(":")
+    a, b, c = P.replace("2001:db8::1 2001:0db8:0000:0000:0000:0000:0000:0001 2001:DB8:0::1", maker, {})[0].split()
+    assert P._ip6(a) == P._ip6(b) == P._ip6(c) and len(b) == 39 and c.isupper()
+    for text in ("std::vector a::b X::Y at 12:30:45 or ::1 and :: x", "1:2:3:4:5:6:7:8:9:a", "1::2::3"):
+        assert P.replace(text, maker, {}) == (text, [])
