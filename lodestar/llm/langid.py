@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from lodestar.llm._common import read, runs, schema, texts
 
 PROFILE = 400
-MOST_LANGUAGES = 5000
 _FLUSH = 1 << 20
 _LETTER: np.ndarray | None = None
 
@@ -83,6 +82,7 @@ def learn(documents: DataFrame, most: int = PROFILE) -> list[tuple[str, list[int
 
     All rows count. Each task sends its counts once they pass about a million n-grams, so memory is
     bounded; the counts are summed by (language, n-gram), and each language's first ones are kept.
+    The profiles of all languages come to the driver: its memory bounds how many there can be.
     """
 
     def count(batches):
@@ -116,7 +116,7 @@ def learn(documents: DataFrame, most: int = PROFILE) -> list[tuple[str, list[int
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= most)
     profiles: dict[str, list[tuple[int, int]]] = {}
-    for row in ranked.select("lang", "gram", "r").limit(MOST_LANGUAGES * most).collect():
+    for row in ranked.select("lang", "gram", "r").collect():
         profiles.setdefault(row.lang, []).append((row.r, row.gram))
     return [(lang, [g for _, g in sorted(x)]) for lang, x in sorted(profiles.items())]
 

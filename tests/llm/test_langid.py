@@ -45,3 +45,10 @@ def test_lang_is_no_input(spark):
     b = rows(spark, [(1, "bonjour tout le monde", "en")])
     profiles = [("en", [ord("t"), ord("h")]), ("fr", [ord("o"), ord("u")])]
     assert [r.lang_pred for r in L.identify(spark, a, profiles, []).collect()] == [r.lang_pred for r in L.identify(spark, b, profiles, []).collect()]
+
+
+def test_no_language_is_dropped(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 2, raising=False)  # a cap that there was
+    docs = spark.createDataFrame([(f"{chr(97 + k)}{chr(98 + k)} word", f"l{k}") for k in range(9)], "text string, lang string")
+    learned = L.learn(docs, 5)
+    assert [x for x, _ in learned] == [f"l{k}" for k in range(9)] and all(len(p) == 5 for _, p in learned)
