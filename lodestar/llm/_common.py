@@ -141,4 +141,4 @@ def parts(df: DataFrame, rows_each: int, most: int = 100_000) -> int:
 
 def schema(df: DataFrame, keep: list[str], more: str) -> StructType:
     """The fields ``keep`` of a table, then those of a DDL string."""
-    return StructType([df.schema[c] for c in keep] + StructType.fromDDL(more).fields)
+    return StructType([df.schema[c] for c in keep] + (StructType.fromDDL(more).fields if more else []))
