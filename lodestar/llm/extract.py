@@ -6,7 +6,7 @@ Spark. Then each page is extracted at the path that its host chose, so that a pa
 container is wrong (a long notice, a short article) still gives the article. All elements at the path
 are taken, and the article that they are parts of is completed from what is around them, as a nested
 container scores above the one that holds all sections. A page that lacks the path, or has no text
-there, falls back to its own best container, and then to what its body holds.
+there, falls back to its own best container, and then to what its body holds, if that is not mostly links.
 
 Pages are read twice and not shuffled for the votes: a task sends one row per host and path. The
 winners are one row per host; adaptive execution broadcasts them while they are below the session's
@@ -67,6 +67,8 @@ def main_text(raw: str, path: str | None) -> str:
         if not nodes or tried.issuperset(map(id, nodes)):
             continue
         tried.update(map(id, nodes))
+        if nodes == [root] and H.linked(root):
+            return ""  # a menu and no article
         if any(map(H.blocks, nodes)):
             return "\n".join(H.article(nodes))
     return ""

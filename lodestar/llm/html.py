@@ -1,4 +1,10 @@
-"""A tolerant HTML tokenizer and tree, and the text of its containers."""
+"""A tolerant HTML tokenizer and tree, and the text of its containers.
+
+All steps take time in proportion to the page, whatever its markup: a tag that the page's end cuts off
+is found once, an element knows the nearest ones around it that a rule asks for, end tags without an
+open element are not looked for, and what a rule wants to know of all that an element holds is summed
+up from below, once for all elements.
+"""
 
 from __future__ import annotations
 
@@ -28,24 +34,55 @@ ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsense spo
 PLAIN = frozenset("list lists area box boxes wrap wrapper container holder block inner outer left right top bottom main content primary secondary site page global link links button buttons icon icons bar form field item items post posts article articles story stories news thread panel unit slot row col column section region group by us media widgets text".split())
 #: First words of a class that tell what an element has, not what it is.
 ABOUT = frozenset("has have with without no not non is show hide".split())
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
-SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
-_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z>][^>]*>", re.S)
+_SECTIONS = {"thead", "tbody", "tfoot", "tr", "td", "th"}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": _SECTIONS, "tbody": _SECTIONS, "tfoot": _SECTIONS}
+#: The parts of tables and of lists, which missing end tags are found by; a part is looked for up to its table or list.
+_ROWS = _SECTIONS | {"table"}
+_LISTS = {"ul", "ol", "menu", "dir", "dl", "select", "table"}
+_ITEMS = _LISTS | {"li", "dt", "dd", "option"}
+SCOPE = {"td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}} | dict.fromkeys(("li", "dt", "dd", "option"), _LISTS)
+#: What an open paragraph is looked for up to.
+_NEAR = frozenset("p button td th table li div article section main body".split())
+#: The fourth group of a tag is empty where the page's end cuts it off. Quotes count after an equals sign only.
+_TAG = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+)(>|\Z)|<[!?][^>]*(?:>|\Z)|</(?:>|\Z|[^a-zA-Z>][^>]*(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"(?<![\d_-])[\d_-]*\d[\w-]*|>")
+_ENDLESS = re.compile(r"&#[0-9]{20,};?")
+#: Marks that text of an article may have in the names of its boxes ("widget-text").
+WEAK = frozenset("widget social related search share sharing header notice notices promotion banner overlay toolbar respond recommended".split())
+
+
+def decoded(text: str) -> str:
+    """With its character references decoded."""
+    if "&" not in text:
+        return text
+    return unescape(_ENDLESS.sub("\ufffd", text))
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "mark")
+    __slots__ = ("tag", "attributes", "parent", "children", "mark", "near", "row", "item", "box", "article", "root", "score", "heading", "holds")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children, self.mark = tag, attributes, parent, [], None
+        if parent is None:
+            self.near = self.row = self.item = self.root = self
+            self.box = self.article = None
+            self.score = self.heading = self.holds = None
+            return
+        # the nearest of some kinds among the element and those around it
+        self.near = self if tag in _NEAR else parent.near
+        self.row = self if tag in _ROWS else parent.row
+        self.item = self if tag in _ITEMS else parent.item
+        self.box = self if tag in CONTAINERS else parent.box
+        self.article = self if tag == "article" else parent.article
+        self.root = parent.root
 
     def step(self) -> str:
         """The tag with its classes (its id if it has none), numbers generalised away."""
         words = self.attributes.get("class", "").split() or self.attributes.get("id", "").split()
-        marks = sorted({x for w in words if (x := re.sub(r"[\d_-]*\d[\w-]*|>", "", w.lower()).strip("-_"))})
+        marks = sorted({x for w in words if (x := _NUMBER.sub("", w.lower()).strip("-_"))})
         return ".".join([self.tag, *marks])
 
     def path(self) -> str:
@@ -84,24 +121,50 @@ def _named(node: Node) -> bool:
         other = [x for i, x in enumerate(parts) if x not in MARKS and x not in PLAIN and not any(0 <= j < len(pairs) and pairs[j] in MARKS for j in (i - 1, i))]
         if other and _has_paragraphs(node, parts):
             continue
+        if node.article is not None and not {"text", "body", "content"}.isdisjoint(parts) and WEAK >= MARKS.intersection([*parts, *pairs]) and _has_paragraphs(node, parts, 1.0):
+            continue
         if not _holds_article(node):
             return True
     return False
 
 
-def _has_paragraphs(node: Node, name: list[str]) -> bool:
+def _has_paragraphs(node: Node, name: list[str], least: float = 3.0) -> bool:
     """Whether an element has text like an article's: a paragraph if its heading is its name, two or three otherwise."""
-    score, heading, stack = 0.0, None, [node]
-    while stack:
-        item = stack.pop()
-        if item.tag in HEADINGS:
-            heading = heading if heading is not None else _WORD.findall("".join(_strings(item)))
-        elif item.tag in PARAGRAPHS:
-            text, links = _own_text(item, True)
+    if node.root.score is None:
+        _sum_up(node.root)
+    heading = node.heading
+    if isinstance(heading, Node):
+        heading.heading = heading.heading if isinstance(heading.heading, frozenset) else frozenset(x.lower() for x in _WORD.findall("".join(_strings(heading))))
+        heading = heading.heading
+    return node.score >= (1 if heading and heading >= set(name) else least)
+
+
+def _sum_up(root: Node) -> None:
+    """Set the score of the paragraphs and the first heading of all elements; a heading's own one is itself, then the words of it."""
+    every = _every(root)
+    for node in reversed(every):
+        node.score, node.heading = 0.0, None
+        for child in reversed(node.children):
+            if isinstance(child, Node) and child.tag not in DROPPED:
+                node.score += child.score
+                if child.heading is not None:
+                    node.heading = child if child.tag in HEADINGS else child.heading
+        if node.tag in HEADINGS:
+            node.heading = node
+        elif node.tag in PARAGRAPHS:
+            text, links = _own_text(node, True)
             if len(text) >= 25 and links <= len(text) / 2:
-                score += _worth(item, text, links)
-        stack.extend(c for c in reversed(item.children) if isinstance(c, Node) and c.tag not in DROPPED)
-    return score >= (1 if heading and {x.lower() for x in heading} >= set(name) else 3)
+                node.score += _worth(node, text, links)
+
+
+def _every(root: Node) -> list[Node]:
+    """All elements, in page order."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return out
 
 
 def _strings(node: Node):
@@ -115,58 +178,59 @@ def _strings(node: Node):
 
 
 def _holds_article(node: Node) -> bool:
-    stack = [node]
-    while stack:
-        for child in stack.pop().children:
-            if isinstance(child, Node):
-                if child.tag == "main" or child.tag == "article" and not marked(child):
-                    return True
-                stack.append(child)
-    return False
+    if node.root.holds is None:
+        for x in reversed(_every(node.root)):
+            x.holds = any(c.tag == "main" or c.tag == "article" and not marked(c) or c.holds for c in x.children if isinstance(c, Node))
+    return node.holds
 
 
 def parse(html: str) -> Node:
     """The tree of a page. Missing end tags close as browsers close them; what does not parse is text."""
     root = node = Node("", {}, None)
+    open_: dict[str, int] = {}  # how many elements of a name hold the present place
     at = 0
+
+    def leave(element: Node) -> Node:
+        """Close an element and all that is open in it."""
+        up = node
+        while up is not element.parent:
+            open_[up.tag] -= 1
+            up = up.parent
+        return up
+
     while True:
         m = _TAG.search(html, at)
         if m is None:
-            rest = html[at:]
-            if (cut := re.search(r"<[a-zA-Z/!?][^<]*\Z", rest)) is not None:  # a tag that the page's end cuts off
-                rest = rest[: cut.start()]
-            if rest:
-                node.children.append(unescape(rest))
+            if at < len(html):
+                node.children.append(decoded(html[at:]))
             return root
         if m.start() > at:
-            node.children.append(unescape(html[at : m.start()]))
+            node.children.append(decoded(html[at : m.start()]))
         at = m.end()
-        if m[2] is None:
+        if m[2] is None or not m[4]:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = node
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if open_.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = leave(up)
             continue
         if tag in BLOCK:  # a block ends an open paragraph, and list or table parts their like
-            up = node
-            while up.tag and up.tag not in ("p", "button", "td", "th", "table", "li", "div", "article", "section", "main", "body"):
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+            if node.near.tag == "p":
+                node = leave(node.near)
             if tag in CLOSES:
-                up = node
-                while up.tag and up.tag not in SCOPE[tag]:
+                stop, rows = SCOPE[tag], tag in _ROWS
+                up = node.row if rows else node.item
+                while up.tag and up.tag not in stop:
                     if up.tag in CLOSES[tag]:
-                        node = up.parent
-                    up = up.parent
+                        node = leave(up)
+                    up = up.parent.row if rows else up.parent.item
         attributes = {}
         if m[3] and not m[3].isspace():
             for x in _ATTRIBUTE.finditer(m[3]):
-                attributes.setdefault(x[1].lower(), unescape(x[2] or x[3] or x[4] or ""))
+                attributes.setdefault(x[1].lower(), decoded(x[2] or x[3] or x[4] or ""))
         new = Node(tag, attributes, node)
         node.children.append(new)
         if tag in RAW:
@@ -176,6 +240,7 @@ def parse(html: str) -> Node:
             at = end.end() if end else len(html)
         elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
             node = new
+            open_[tag] = open_.get(tag, 0) + 1
 
 
 def elements(root: Node):
@@ -236,13 +301,12 @@ def scores(root: Node) -> list[tuple[float, Node]]:
             if not text:
                 continue
             worth = _worth(node, text, links)
-            up, share = (node if node.tag in CONTAINERS else node.parent), 1.0
+            up, share = node.box, 1.0
             while up is not None and share > 0.2:
-                if id(up) in found:
-                    found[id(up)][0] += worth * share
-                    found[id(up)][2] = True
-                    share /= 2
-                up = up.parent
+                found[id(up)][0] += worth * share
+                found[id(up)][2] = True
+                share /= 2
+                up = up.parent.box
     return [(score, node) for score, node, used in found.values() if used]
 
 
@@ -305,18 +369,21 @@ def article(nodes: list[Node]) -> list[str]:
     starts: dict[int, Node] = {}
     on: set[int] = set()  # the starts and all that hold them
     beside: set[int] = set()  # those that other text is taken from
+    seen: set[tuple[int, bool]] = set()
     titled = False
     for node in nodes:
-        top, up = node, node.parent
-        while up is not None:
-            top, up = up if up.tag == "article" else top, up.parent
+        top, up = node, node.parent.article if node.parent is not None else None
+        while up is not None and id(up) not in starts:
+            top, up = up, up.parent.article
+        top = up or top
         starts[id(top)] = top
     for start in starts.values():
         heads = {x.tag for x in elements(start)} & HEADINGS
         titled |= "h1" in heads
         open_, up = start.tag not in ("main", "body") and not (start.tag == "article" and heads), start.parent
         on.add(id(start))
-        while up is not None:
+        while up is not None and (id(up), open_) not in seen:
+            seen.add((id(up), open_))
             on.add(id(up))
             if open_ and up.tag in (*CONTAINERS, "center", "form"):
                 beside.add(id(up))
@@ -389,6 +456,12 @@ def _score(node: Node) -> float:
     return sum(_worth(x, *_own_text(x)) for x in elements(node) if x.tag in PARAGRAPHS)
 
 
+def linked(node: Node) -> bool:
+    """Whether over half of an element's text is links."""
+    size, links = _size([node])
+    return links > size / 2
+
+
 def _size(items: list) -> tuple[int, int]:
     """The characters of text of some nodes, and how many of them are links."""
     size = links = 0

@@ -90,3 +90,68 @@ def test_real_pages(spark):
         inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
         want = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0] == "<br>" else "", x))).strip() for x in re.split(r"</?(?:p|h1)>", inner)]
         assert out[r.page_id] == "\n".join(x for x in want if x)
+
+
+N = 300_000
+HOSTILE = {
+    "stray end tags": "</a>" * (N // 4), "stray end tags deep down": "<div>" * (N // 10) + "</b>" * (N // 8), "unclosed end tags": "</a " * (N // 4), "unclosed tags": "<a " * (N // 3), "open quotes": '<a b="' * (N // 6), "quotes": "<a " + "\"'" * (N // 2) + ">x", "numbered end tags": "</1" * (N // 3),
+    "open spans with paragraphs": "<span>" * (N // 12) + "<p>some text" * (N // 24), "spans and paragraphs": "<span><p>text, of a paragraph" * (N // 28), "lists in deep boxes": "<div>" * (N // 10) + "<li>x" * (N // 10), "lists in deep tables": "<table>" * (N // 14) + "<li>x" * (N // 10), "cells in deep lists": "<td><table>" + "<ul>" * (N // 8) + "<td>" * (N // 8), "table feet": "<tfoot>" * (N // 7),
+    "marked boxes": "<div class='related-x'><p>A paragraph, which is long enough, for a score." * (N // 75), "headings around marked boxes": "<h1>" * (N // 8) + "<div class='related-x'>" * (N // 46), "comments": "<!-- " * (N // 5), "number": "&#" + "9" * N + ";", "class of dashes": "<p class='" + "-" * N + "'>x", "spaces": "<p a" + " " * N + "=x>b", "articles in articles": "<article><p>A paragraph of some length, with commas, here." * (N // 58),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_is_in_proportion_to_the_page(name):
+    import time
+
+    began = time.perf_counter()
+    E.main_text(HOSTILE[name], None)
+    E.main_text(HOSTILE[name], "div>div>div")
+    assert time.perf_counter() - began < 6  # a quadratic step takes minutes
+
+
+def test_tags_that_the_end_cuts_off_are_no_text():
+    for cut in ("<a ", "<a href='x", "</a", "</", "<!-- x", "<p class=\"y"):
+        assert E.main_text(page(f"<article>{ARTICLE}</article>") + cut * 3, None) == WANT
+    assert E.main_text("<p>one" + "<a " * 99, None) == "one"
+    assert E.main_text('<p title="5 > 3">a < b and c > d, "quoted" <b>bold</b>', None) == 'a < b and c > d, "quoted" bold'
+
+
+def test_boxes_of_an_article_and_pages_of_menus():
+    text = "A paragraph, which is long enough, for the score, of a container, on this page."
+    inside = f'<article><p>{text}</p><p class="social">{text}</p><div class="related-work"><h2>Related work</h2><p>{text}</p></div><div class="widget-text"><p>{text}</p></div></article>'
+    assert E.main_text(page(inside), None) == "\n".join([text, text, "Related work", text, text])
+    two = f"<article class=a><p>{text} One.</p><p>{text}</p></article><article class=a><p>{text} Two.</p><p>{text}</p></article>"
+    assert E.main_text(page(two), "html>body.has-sidebar>article.a") == "\n".join([f"{text} One.", text, f"{text} Two.", text])
+    assert E.main_text("<html><body><nav><a href=/>Home</a></nav><ul class=links><li><a href=/a>About</a><li><a href=/b>Contact</a></ul></body></html>", None) == ""
+    assert E.main_text("<html><body>Just a line.</body></html>", None) == "Just a line."
+
+
+def scores_by_hand(root):
+    """The scores as they are defined, each container by itself."""
+    out = {}
+    for box in H.elements(root):
+        if box.tag not in H.CONTAINERS:
+            continue
+        total, used = {"article": 30.0, "main": 15.0, "body": -10.0}.get(box.tag, 0.0), False
+        for node in H.elements(root):
+            if node.tag not in H.PARAGRAPHS:
+                continue
+            up, depth = node, 0
+            while up is not None and up is not box:
+                depth += up.tag in H.CONTAINERS
+                up = up.parent
+            text, links = H._own_text(node)
+            if up is box and text and 0.5**depth > 0.2:
+                total, used = total + H._worth(node, text, links) * 0.5**depth, True
+        if used:
+            out[id(box)] = total
+    return out
+
+
+def test_scores_match_brute_force(spark):
+    for r in real(spark, "pages").limit(20).collect():
+        root = H.parse(r.html)
+        got, want = {id(n): s for s, n in H.scores(root)}, scores_by_hand(root)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+        assert H.best(root)[0] == max(got.values())
