@@ -10,21 +10,25 @@ comparison of all m words confirms each of them. Most positions are never looked
 The search runs over many documents at once: a document is cut into overlapping lanes, whose
 cursors move in step by numpy. Nothing is sampled; every occurrence is found.
 
-Documents are only scanned: no shuffle, and memory is bounded by the Arrow batch. The patterns are
-broadcast in blocks of at most ``block_bytes``; a larger benchmark takes several scans, whose hits
-are merged per document.
+Documents are only scanned: no shuffle, and memory is bounded by the Arrow batch. The patterns of a
+block of at most ``block_bytes`` of the benchmark are made into arrays once, on the driver, and are
+broadcast: the numbers of all words in order, of which a pattern is a place, the tables, and the words
+themselves, which a worker puts into a dictionary when it first sees the block. A larger benchmark is
+read, searched and let go block by block; the hits, written to a table, are merged per document.
 """
 
 from __future__ import annotations
 
 import hashlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._common import read, runs, texts
+from lodestar.llm._common import Workspace, read, runs, texts
 
 WINDOW = 13
 LANE = 256
@@ -39,19 +43,21 @@ def words(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Patterns of one length m, as rows of word numbers above 0."""
-
-    def __init__(self, patterns: np.ndarray):
-        self.patterns, (n, self.m) = patterns, patterns.shape
-        self.block = min(2, self.m)
-        self.bits = max(8, int(n * self.m).bit_length() + 2)
-        self.shift = np.full(1 << self.bits, self.m - self.block + 1, np.int32)
-        for end in range(self.block, self.m + 1):
-            h = self._hash(patterns[:, end - 2] if self.block == 2 else None, patterns[:, end - 1])
-            np.minimum.at(self.shift, h, self.m - end)
-        suffix = self._hash(patterns[:, -2] if self.block == 2 else None, patterns[:, -1])
-        self.order = np.argsort(suffix, kind="stable").astype(np.int64)
-        self.start = np.searchsorted(suffix[self.order], np.arange((1 << self.bits) + 1))
+    """Patterns of one length m: places (distinct ones) in an array of word numbers above 0."""
+
+    def __init__(self, words_: np.ndarray, places: np.ndarray, m: int):
+        self.words, self.places, self.m, self.block = words_, places.astype(np.int32), m, min(2, m)
+        self.bits = min(22, max(8, int(len(places) * m).bit_length() + 1))  # as many entries as blocks, or some MB
+        self.shift = np.full(1 << self.bits, m - self.block + 1, np.int8)
+        for end in range(self.block, m + 1):
+            np.minimum.at(self.shift, self._at(places, end), np.int8(m - end))
+        suffix = self._at(places, m)
+        self.order = np.argsort(suffix, kind="stable").astype(np.int32)
+        self.start = np.searchsorted(suffix[self.order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def _at(self, places: np.ndarray, end: int) -> np.ndarray:
+        """The hash of the block that ends a pattern's first ``end`` words."""
+        return self._hash(self.words[places + end - 2] if self.block == 2 else None, self.words[places + end - 1])
 
     def _hash(self, first: np.ndarray | None, last: np.ndarray) -> np.ndarray:
         h = last.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -74,13 +80,13 @@ class WuManber:
             zero = np.flatnonzero(shift == 0)
             if len(zero):
                 a, hz = at[zero], h[zero]
-                n = self.start[hz + 1] - self.start[hz]
+                n = (self.start[hz + 1] - self.start[hz]).astype(np.int64)
                 which = np.repeat(np.arange(len(a)), n)
                 rank = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 pattern = self.order[self.start[hz][which] + rank]
                 place = a[which]
                 for j in range(m):  # direct comparison, on what is left of the candidates
-                    same = ids[place + j] == self.patterns[pattern, j]
+                    same = ids[place + j] == self.words[self.places[pattern] + j]
                     place, pattern = place[same], pattern[same]
                 found_at.append(place)
                 found.append(pattern)
@@ -93,17 +99,45 @@ class WuManber:
 
 
 class Patterns:
-    """All windows of some benchmark items: vocabulary, one searcher for each length, items of a pattern."""
+    """All windows of some benchmark items: vocabulary, one searcher for each length, items of a pattern. It is all arrays, to be sent."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
-        self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            m = min(WINDOW, len(ids))
-            for k in range(len(ids) - m + 1 if m else 0):
-                by_length.setdefault(m, {}).setdefault(tuple(ids[k : k + m]), set()).add(item)
-        self.searchers = [(WuManber(np.array(list(p), np.int32)), [frozenset(x) for x in p.values()]) for _, p in sorted(by_length.items())]
+        vocabulary: dict[bytes, int] = {}
+        flat, ends = array("i"), []
+        for _, text in items:
+            flat.extend([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)])
+            ends.append(len(flat))
+        ids = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+        stops = np.array(ends, np.int64)
+        starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
+        size = np.minimum(stops - starts, WINDOW)
+        self.names = [name for name, _ in items]
+        self.blob, self._vocabulary = b" ".join(vocabulary), None
+        self.searchers = []
+        for m in np.unique(size[size > 0]).tolist():
+            own = np.flatnonzero(size == m)
+            n = stops[own] - starts[own] - m + 1
+            item = np.repeat(own, n)
+            place = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(len(item))
+            # equal windows are one pattern: rank by doubling words, so that numbers stay small
+            rank = np.zeros(len(place), np.int64)
+            for j in range(m):
+                rank = np.unique(rank * (len(vocabulary) + 1) + ids[place + j], return_inverse=True)[1]
+            order = np.lexsort((item, rank))
+            rank, item, place = rank[order], item[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1]]))
+            new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (item[1:] != item[:-1])])
+            owner_start = np.searchsorted(rank[new], np.arange(len(first) + 1)).astype(np.int32)
+            self.searchers.append((WuManber(ids, place[first], m), owner_start, item[new].astype(np.int32)))
+
+    def __getstate__(self):
+        return {**self.__dict__, "_vocabulary": None}
+
+    @property
+    def vocabulary(self) -> dict[bytes, int]:
+        if self._vocabulary is None:  # once for each worker
+            self._vocabulary = {w: k for k, w in enumerate(self.blob.split(b" "), 1)} if self.blob else {}
+        return self._vocabulary
 
     def search(self, docs: list[bytes]) -> list[tuple[int, np.ndarray, set[str]]]:
         """For each document its number of words, the positions of the words hit, the items found."""
@@ -116,14 +150,14 @@ class Patterns:
         starts = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
         cover = np.zeros(len(ids) + 1, np.int32)
         items: list[set[str]] = [set() for _ in docs]
-        for searcher, owners in self.searchers:
+        for searcher, first, owner in self.searchers:
             at, pattern = searcher.find(ids, starts, stops)
             if len(at):
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + searcher.m, -1)
                 pairs = np.unique(np.stack([np.searchsorted(stops, at, "right"), pattern]), axis=1)
                 for d, p in pairs.T.tolist():
-                    items[d] |= owners[p]
+                    items[d].update([self.names[x] for x in owner[first[p] : first[p + 1]].tolist()])
         hit = np.cumsum(cover)[:-1] > 0
         return [(b - a, np.flatnonzero(hit[a:b]), x) for a, b, x in zip(starts.tolist(), stops.tolist(), items, strict=True)]
 
@@ -133,15 +167,15 @@ def digest(items: set[str]) -> str:
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    """The items as lists of at most about block_bytes of text, read one partition at a time."""
-    block, size = [], 0
+    """The items as lists of at most about block_bytes of text, read one partition at a time; one empty list if there are none."""
+    block, size, any_ = [], 0, False
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").filter("text is not null").toLocalIterator():
         block.append((row.i if row.i is not None else "", row.text.encode()))
         size += len(block[-1][1])
         if size >= block_bytes:
             yield block
-            block, size = [], 0
-    if block:
+            block, size, any_ = [], 0, True
+    if block or not any_:
         yield block
 
 
@@ -157,58 +191,79 @@ def contamination(spark: SparkSession, documents: DataFrame, benchmark: DataFram
     Other columns are ignored.
     """
     docs = documents.select("doc_id", "text")
-    blocks = list(_blocks(benchmark, block_bytes))
-    if len(blocks) <= 1:
-        return _verdict(_scan(spark, docs, blocks[0] if blocks else [], False))
-    # a row for each copy of equal rows
-    return _verdict(_several(spark, docs, blocks).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("uid", "copies", "copy"))
+    first, blocks = _first(benchmark, block_bytes)
+    if blocks is None:
+        return _verdict(_scan(spark, docs, first))
+    return _verdict(_several(spark, docs, first, blocks)).drop("sha")
+
+
+def _first(benchmark: DataFrame, block_bytes: int):
+    """The first block, and the blocks after it (None if there are none)."""
+    blocks = _blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    return first, None if second is None else chain([second], blocks)
 
 
 def _verdict(counts: DataFrame) -> DataFrame:
     return counts.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def _scan(spark: SparkSession, docs: DataFrame, items: list, raw: bool) -> DataFrame:
-    sent = spark.sparkContext.broadcast(items)
+def _scan(spark: SparkSession, docs: DataFrame, items: list) -> DataFrame:
+    """doc_id and COUNTS of (doc_id, text)."""
+    sent = spark.sparkContext.broadcast(Patterns(items))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches):
+        patterns = sent.value
+        for batch in batches:
+            column = batch.column("text")
+            for a, b in runs(column):
+                found = patterns.search(list(texts(column.slice(a, b - a))))
+                more = [pa.array([f(x) for x in found], t) for f, t in ((lambda x: x[0], pa.int64()), (lambda x: len(x[1]), pa.int64()), (lambda x: len(x[2]), pa.int64()), (lambda x: digest(x[2]), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *more], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+
+    return docs.mapInArrow(scan, f"doc_id {kind}, {COUNTS}")
+
+
+def _hits(docs: DataFrame, sent, everything: bool) -> DataFrame:
+    """(doc_id, sha, n_words, positions of words hit, items) of (doc_id, sha, text); only rows with hits unless everything is asked for."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    extra = "positions array<int>, items array<string>" if raw else COUNTS
 
     def scan(batches):
-        patterns = Patterns(sent.value)
+        patterns = sent.value
         for batch in batches:
             column = batch.column("text")
             for a, b in runs(column):
-                ids = batch.slice(a, b - a).columns[0]
                 found = patterns.search(list(texts(column.slice(a, b - a))))
-                if raw:
-                    more = [pa.array([batch.column("uid")[a + k].as_py() for k in range(b - a)], pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([ids, *more], ["doc_id", "uid", "n_words", "positions", "items"])
-                else:
-                    more = [pa.array([f(x) for x in found], t) for f, t in ((lambda x: x[0], pa.int64()), (lambda x: len(x[1]), pa.int64()), (lambda x: len(x[2]), pa.int64()), (lambda x: digest(x[2]), pa.string()))]
-                    yield pa.RecordBatch.from_arrays([ids, *more], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-    return docs.mapInArrow(scan, f"doc_id {kind}, {'uid long, n_words long, ' if raw else ''}{extra}")
-
-
-def _uid() -> Column:
-    """Names a row's id and text."""
-    return F.xxhash64("doc_id", "text")
-
-
-def _several(spark: SparkSession, docs: DataFrame, blocks: list) -> DataFrame:
-    """One scan for each block of patterns; a document's hits are merged by its id and uid. copies: how many equal rows it has."""
-    keyed = docs.withColumn("uid", _uid())
-    scans = [_scan(spark, keyed, items, True) for items in blocks]
-    union = scans[0].groupBy("doc_id", "uid").agg(F.count(F.lit(1)).alias("copies"), F.max("n_words").alias("n_words"), F.first("positions").alias("positions"), F.first("items").alias("items"))
-    for more in scans[1:]:
-        more = more.filter(F.size("positions") > 0).groupBy(F.col("doc_id").alias("d2"), F.col("uid").alias("u2")).agg(F.first("positions").alias("p2"), F.first("items").alias("i2"))
-        union = union.join(more, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("uid") == F.col("u2")), "left").select(
-            "doc_id", "uid", "copies", "n_words",
-            F.array_union("positions", F.coalesce("p2", F.array().cast("array<int>"))).alias("positions"),
-            F.array_union("items", F.coalesce("i2", F.array().cast("array<string>"))).alias("items"),
-        )
-    return union.select(
-        "doc_id", "uid", "copies", "n_words", F.size("positions").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+                part = batch.slice(a, b - a)
+                more = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int32())), pa.array([sorted(x[2]) for x in found], pa.list_(pa.string()))]
+                out = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sha"), *more], ["doc_id", "sha", "n_words", "positions", "items"])
+                yield out if everything else out.filter(pa.array([len(x[1]) > 0 for x in found], pa.bool_()))
+
+    return docs.select("doc_id", "sha", "text").mapInArrow(scan, f"doc_id {kind}, sha string, n_words long, positions array<int>, items array<string>")
+
+
+def _sha() -> Column:
+    """Tells texts apart: the SHA-256 of a text, null for none."""
+    return F.sha2("text", 256)
+
+
+def _several(spark: SparkSession, docs: DataFrame, first: list, blocks) -> DataFrame:
+    """doc_id, sha and COUNTS: one scan for each block of patterns, whose hits are written; those of a document (equal in id and text) are merged."""
+    ws = Workspace(spark, "contamination")
+    keyed = docs.withColumn("sha", _sha())
+    base, hits = None, None
+    for k, items in enumerate(chain([first], blocks)):
+        sent = spark.sparkContext.broadcast(Patterns(items))
+        found = ws.save(_hits(keyed, sent, k == 0), f"block-{k}")
+        sent.destroy()
+        base = found if base is None else base
+        own = found.filter(F.size("positions") > 0).groupBy("doc_id", "sha").agg(F.first("positions").alias("positions"), F.first("items").alias("items"))  # equal rows have equal hits
+        hits = own if hits is None else hits.union(own)
+    merged = hits.groupBy(F.col("doc_id").alias("d"), F.col("sha").alias("s")).agg(F.array_distinct(F.flatten(F.collect_list("positions"))).alias("p"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("i"))
+    return base.join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("sha").eqNullSafe(F.col("s")), "left").select(
+        "doc_id", "sha", "n_words", F.size(F.coalesce("p", F.array().cast("array<int>"))).cast("long").alias("n_hit"), F.size(F.coalesce("i", F.array().cast("array<string>"))).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.coalesce("i", F.array().cast("array<string>"))), ","), 256).alias("items_sha256"),
     )
 
 
@@ -219,15 +274,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """The documents that are not contaminated, with all their columns, in one scan if the patterns fit one block."""
-    blocks = list(_blocks(benchmark, block_bytes))
-    if len(blocks) > 1:
-        bad = _verdict(_several(spark, documents.select("doc_id", "text"), blocks)).filter("contaminated").select(F.col("uid").alias("__bad"))
-        return documents.join(bad, _uid() == F.col("__bad"), "left_anti")
-    sent = spark.sparkContext.broadcast(blocks[0] if blocks else [])
+    first, blocks = _first(benchmark, block_bytes)
+    if blocks is not None:
+        bad = _verdict(_several(spark, documents.select("doc_id", "text"), first, blocks)).filter("contaminated")
+        free = lambda x: x if x not in documents.columns else free(x + "_")
+        bad_id, bad_sha = free("__bad"), free("__sha")
+        bad = bad.select(F.col("doc_id").alias(bad_id), F.col("sha").alias(bad_sha)).distinct()
+        return documents.join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (_sha() == F.col(bad_sha)), "left_anti")
+    sent = spark.sparkContext.broadcast(Patterns(first))
     at = documents.columns.index("text")
 
     def scan(batches):
-        patterns = Patterns(sent.value)
+        patterns = sent.value
         for batch in batches:
             for a, b in runs(batch.column(at)):
                 found = patterns.search(list(texts(batch.column(at).slice(a, b - a))))

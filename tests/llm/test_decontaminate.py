@@ -55,3 +55,28 @@ def test_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert got(D.contamination(spark, rows(spark, []), bench)) == []
     assert not any(r[5] for r in got(D.contamination(spark, rows(spark, EDGE), bench)))
+
+
+def test_tables_are_small_and_sent_whole():
+    import pickle
+    import time
+
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(30_000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=rng.randint(1, 400))).encode()) for i in range(1600)]
+    items += [(f"copy{i}", items[0][1]) for i in range(500)]  # one text in very many items
+    size, began = sum(len(t) for _, t in items), time.perf_counter()
+    sent = pickle.dumps(D.Patterns(items))
+    assert size > 2_000_000 and len(sent) < 40 * size and time.perf_counter() - began < 30
+    patterns = pickle.loads(sent)
+    words = [D.words(t) for _, t in items]
+    docs = [b" ".join(words[k][:60]) + b" between " + b" ".join(words[k + 1][5:17]) for k in range(0, 400, 7)] + [b"", items[0][1]]
+    assert [(n, p.tolist(), x) for n, p, x in patterns.search(docs)] == [(n, p.tolist(), x) for n, p, x in D.Patterns(items).search(docs)]
+    assert patterns.search([items[0][1]])[0][2] >= {"0", *(f"copy{i}" for i in range(500))}
+
+
+def test_clashing_columns_in_several_blocks(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", "a", 1), (None, "one two three four five six", "b", 2), (2, "clean " * 30, "c", 3), (3, None, "d", 4)], "doc_id long, text string, __sha string, __bad long")
+    bench = spark.createDataFrame([(1, "two three four"), (2, "five six")], "item_id long, text string")
+    kept = D.clean(spark, docs, bench, block_bytes=5)
+    assert kept.columns == docs.columns and sorted(r["__bad"] for r in kept.collect()) == [3, 4]
