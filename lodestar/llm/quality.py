@@ -8,8 +8,9 @@ with a monotonic sign may only be split so that the prediction never moves again
 tree in level order, and all documents of a batch descend all trees together.
 
 Statistics and scoring are one scan over whole texts without a shuffle. Fitting reads a bounded
-sample of labelled rows (``most_labelled``, by hash of the id), which is broadcast to pick their
-texts; nothing else is bounded.
+sample of labelled rows (``most_labelled``, by hash of the id, cut by a threshold on the hash first),
+which is broadcast to pick their texts; the statistics of these are made by all tasks and written, and
+come to the driver together. Nothing else is bounded.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._common import read, runs, texts
+from lodestar.llm._common import Workspace, read, runs, texts
 
 MOST_LABELLED = 20_000
 MIN_WORDS, MOST_REPEATED = 50, 50
@@ -174,29 +175,31 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 60, depth:
 
 
 def _features(df: DataFrame) -> DataFrame:
-    """label, counts and features of (label, text)."""
+    """label_id, label, counts and features of (label_id, label, text)."""
 
     def scan(batches):
         for batch in batches:
             found = [document_stats(t) for t in texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["label", "counts", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("label"), pa.array([x for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["label_id", "label", "counts", "features"])
 
-    return df.mapInArrow(scan, "label int, counts array<long>, features array<double>")
+    return df.mapInArrow(scan, f"label_id {df.schema['label_id'].dataType.simpleString()}, label int, counts array<long>, features array<double>")
 
 
 def train(documents: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Trees:
     """Fit on at most ``most_labelled`` rows of labels (doc_id, quality 0 or 1), chosen by hash of doc_id.
 
-    Rows with a null id or label, and those that the base rules reject, teach nothing.
+    Rows with a null id or label, and those that the base rules reject, teach nothing. Repeated rows
+    of labels count once; of several documents with an id, the one with the smallest statistics teaches.
     """
-    picked = (
-        labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label"))
-        .filter("label_id is not null and label in (0, 1)")
-        .orderBy(F.xxhash64("label_id"), "label_id", "label")
-        .limit(most_labelled)
-    )
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("label", "text")
-    got = [(r.label, r.features) for r in _features(rows).toLocalIterator() if not base_failed(r.counts)]
+    ws = Workspace(documents.sparkSession, "quality")
+    labelled = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label")).filter("label_id is not null and label in (0, 1)").distinct()
+    n, place = labelled.count(), F.pmod(F.xxhash64("label_id"), F.lit(1 << 40))
+    if n > most_labelled:  # about as many rows as are wanted and a tenth more, so that the order is that of few rows
+        labelled = labelled.filter(place < int((1 << 40) * (1.1 * most_labelled + 100) / n))
+    picked = labelled.orderBy(place, "label_id", "label").limit(most_labelled)
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).select("label_id", "label", "text")
+    one = ws.save(_features(rows).groupBy("label_id", "label").agg(F.min(F.struct("features", "counts")).alias("x")).select("label", "x.*"), "features")
+    got = [(r.label, r.features) for r in one.collect() if not base_failed(r.counts)]  # at most most_labelled
     got.sort()
     x = np.array([f for _, f in got], np.float64).reshape(len(got), len(FEATURES))
     return fit(x, np.array([y for y, _ in got], np.float64), np.array([MONOTONE.get(f, 0) for f in FEATURES]))

@@ -81,3 +81,16 @@ def test_edges(spark):
     assert Q.keep(spark, docs, trees).count() == sum(r.kept for r in out)
     empty = Q.train(docs.limit(0), labels)
     assert Q.judge(spark, docs.limit(0), empty).count() == 0
+
+
+def test_sample_of_labels(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(60 + k % 7))) for k in range(300)] + [(7, "again and again " * 40)] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(300)] * 3, "doc_id long, quality int")
+    seen = []
+    fit, Q.fit = Q.fit, lambda x, y, *a: seen.append(len(y)) or fit(x, y, *a)
+    try:
+        Q.train(docs, labels, 40)
+        Q.train(docs, labels)
+    finally:
+        Q.fit = fit
+    assert 20 <= seen[0] <= 40 and seen[1] <= 300
