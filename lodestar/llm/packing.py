@@ -10,7 +10,10 @@ from at most ``LENGTH`` counts, however many documents there are.
 Pieces take slots by joining on (length, rank within length). The rank needs no task that sees all
 pieces of a length: a length has a salt for each ``SALT_ROWS`` of its pieces, pieces are dealt by
 (length, salt) and numbered within, and the numbers start from the sum of the counts of the salts
-before. Text is read once; only lengths are shuffled.
+before, which are summed in groups of ``GROUP`` salts and then over the groups. The salt is a hash of
+a piece's place in the written table, so that equal rows have different ones. Pieces of full length,
+the commonest, need neither plan nor rank: each is a sequence, numbered by its place. Text is read
+once; only lengths are shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from lodestar.llm.tokens import PieceMemo, default_tokenizer
 
 LENGTH = 4096
 SALT_ROWS = 200
+GROUP = 1000
 
 
 def plan(counts: dict[int, int], room: int = LENGTH) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -99,30 +103,33 @@ def pieces(documents: DataFrame, tokenizer: str, room: int = LENGTH, end: int |
     return rows.mapInArrow(scan, schema(rows, list(keep), "piece int, start long, length long, ids_crc32 long"))
 
 
-def assign(ws: Workspace, table: DataFrame, room: int = LENGTH, salt_rows: int = SALT_ROWS) -> DataFrame:
-    """Give each piece (a written table with length, at most room) its sequence_id and offset."""
-    names = table.columns
+def assign(ws: Workspace, table: DataFrame, room: int = LENGTH, salt_rows: int = SALT_ROWS, place: str = "__place", group: int = GROUP) -> DataFrame:
+    """Give each piece its sequence_id and offset. table: written, with length (at most room) and a number of its own for each row, ``place``."""
+    names = [c for c in table.columns if c != place]
     counts = {r.length: r.n for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `room` rows
-    slots, _ = plan(counts, room)
+    counts.pop(room, None)
+    slots, sequences = plan(counts, room)
+    whole = table.filter(F.col("length") == room).select(*names, (F.lit(sequences) + F.col(place)).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     salts = ws.spark.createDataFrame([(n, -(-c // salt_rows)) for n, c in counts.items()], "__length long, __salts long")
-    salted = table.join(F.broadcast(salts), F.col("length") == F.col("__length")).select(*names, F.pmod(F.xxhash64(*names), F.col("__salts")).alias("__salt"))
-    counted = ws.save(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")), "counts")
+    salted = table.join(F.broadcast(salts), F.col("length") == F.col("__length")).select(*names, place, F.pmod(F.xxhash64(place), F.col("__salts")).alias("__salt"))
+    counted = ws.save(salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")).withColumn("__group", F.expr(f"__salt div {group}")), "counts")
     key = np.array([n << 44 | r for n, r, _, _ in slots], np.int64)
     order = np.argsort(key)
     sent = ws.spark.sparkContext.broadcast((key[order], np.array([s for _, _, s, _ in slots], np.int64)[order], np.array([o for *_, o in slots], np.int64)[order]))
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counted.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    number = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*names))
+    above = lambda keys, by: F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counted.groupBy("length", "__group").agg(F.sum("__n").alias("__n")).select("length", "__group", above(["length"], "__group").alias("__first"))
+    base = counted.withColumn("__own", above(["length", "__group"], "__salt")).join(groups, ["length", "__group"]).select("length", "__salt", (F.col("__first") + F.col("__own")).alias("__base"))
+    number = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(place))
     ranked = salted.withColumn("__rank", number.cast("long") - 1).join(base, ["length", "__salt"]).select(*names, (F.col("__base") + F.col("__rank")).alias("__rank"))
 
-    def place(batches):
+    def put(batches):
         keys, first, offset = sent.value
         for batch in batches:
             want = (batch.column("length").to_numpy().astype(np.int64) << 44) | batch.column("__rank").to_numpy()
             slot = np.searchsorted(keys, want, "right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(first[slot] + want - keys[slot]), pa.array(offset[slot])], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema(table, names, "sequence_id long, offset long"))
+    return ranked.mapInArrow(put, schema(table, names, "sequence_id long, offset long")).union(whole)
 
 
 def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, room: int = LENGTH, end: int | None = 1) -> DataFrame:
@@ -132,7 +139,7 @@ def pack(spark: SparkSession, documents: DataFrame, tokenizer: str, room: int =
     own. An empty table gives no rows. Other columns are ignored.
     """
     ws = Workspace(spark, "packing")
-    return assign(ws, ws.save(pieces(documents, tokenizer, room, end), "pieces"), room)
+    return assign(ws, ws.save(pieces(documents, tokenizer, room, end).withColumn("__place", F.monotonically_increasing_id()), "pieces"), room)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
