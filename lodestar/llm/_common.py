@@ -134,11 +134,6 @@ def runs(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-def parts(df: DataFrame, rows_each: int, most: int = 100_000) -> int:
-    """How many parts a table of small rows is split into, from its row count."""
-    return max(1, min(most, -(-df.count() // rows_each)))
-
-
 def schema(df: DataFrame, keep: list[str], more: str) -> StructType:
     """The fields ``keep`` of a table, then those of a DDL string."""
     return StructType([df.schema[c] for c in keep] + (StructType.fromDDL(more).fields if more else []))

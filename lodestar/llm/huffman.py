@@ -7,10 +7,12 @@ form blocks of ``BLOCK`` ids; a checkpoint holds each block's bit offset, so blo
 independently, and here side by side: one table lookup decodes the next id of every block.
 
 Steps: the ids are made once and written to a table (uint16 where the vocabulary allows it); the
-counts are summed from one partial count per task; the table is dealt by range of doc_id and
-sorted within partitions, and each task streams its documents into its file. Memory is bounded by
-the Arrow batch and ``PIECE`` ids. A file's name is its attempt's own, and only the files of the
-attempts that counted are listed, so a task may run again.
+counts are summed from one partial count per task; the table is dealt by range of doc_id, so that
+each file has about ``FILE_BYTES`` of ids whatever the lengths of documents (the bounds come from a
+sample of rows by their bytes; rows that share an id at a bound are dealt over all files that it
+bounds), and sorted within partitions, and each task streams its documents into its file. Memory is
+bounded by the Arrow batch and ``PIECE`` ids. A file's name is its attempt's own, and only the files
+of the attempts that counted are listed, so a task may run again.
 
 File: magic, LIMIT, code lengths (uint8 for each id), then segments. A segment is a header of
 uint64 (documents, ids, payload bytes), each document's doc_id, null flag and number of ids, the
@@ -29,12 +31,15 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm._common import Workspace, parts, read, runs, texts
+from lodestar.llm._common import Workspace, read, runs, texts
 from lodestar.llm.tokens import PieceMemo, default_tokenizer
 
 LIMIT = 20
 BLOCK = 256
 PIECE = 1 << 20
+FILE_BYTES = 8 << 20
+MOST_FILES = 100_000
+_NULL = -(2**63)
 MAGIC = b"LDHUF1\0\0"
 
 
@@ -178,13 +183,44 @@ def id_counts(tokens: DataFrame, kind: str) -> np.ndarray:
     return out
 
 
-def write_ids(ws: Workspace, tokens: DataFrame, kind: str, rows_each: int = 20_000) -> list[str]:
-    """Write (doc_id, ids) to files in ascending order of doc_id, nulls first; returns the files in that order."""
+def bounds(tokens: DataFrame, file_bytes: int) -> np.ndarray:
+    """The doc_ids (null as the smallest) that cut (doc_id, ids, place) into files of about equal bytes, in order; as many as files less one."""
+    total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    files = max(1, min(MOST_FILES, -(-total // file_bytes)))
+    if files == 1:
+        return np.zeros(0, np.int64)
+    unit = max(1.0, total / (files * 1000))  # a row is taken about once for each unit of its bytes
+    chance = F.pmod(F.xxhash64("place"), F.lit(1 << 20)) / float(1 << 20)
+    sample = tokens.select(F.coalesce("doc_id", F.lit(_NULL)).alias("id"), F.floor(F.octet_length("ids") / unit + chance).cast("int").alias("n")).filter("n > 0").select("id", F.explode(F.sequence(F.lit(1), "n")))
+    found = sample.agg(F.percentile_approx("id", [k / files for k in range(1, files)], max(10_000, 10 * files)).alias("x")).first().x
+    return np.array(found or [], np.int64)
+
+
+def deal(tokens: DataFrame, cuts: np.ndarray) -> DataFrame:
+    """(doc_id, ids, place, file): the file by the cuts before the doc_id; rows with a cut's own id go to any file that it bounds, by hash of place."""
+    sent = tokens.sparkSession.sparkContext.broadcast(cuts)
+
+    def scan(batches):
+        cuts = sent.value
+        for batch in batches:
+            own = batch.column("doc_id").fill_null(_NULL).to_numpy()
+            low, high = np.searchsorted(cuts, own, "left"), np.searchsorted(cuts, own, "right")
+            mix = batch.column("place").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((low + (mix % (high - low + 1).astype(np.uint64)).astype(np.int64)).astype(np.int32))], ["doc_id", "ids", "place", "file"])
+
+    return tokens.mapInArrow(scan, "doc_id long, ids binary, place long, file int")
+
+
+def write_ids(ws: Workspace, tokens: DataFrame, kind: str, file_bytes: int = FILE_BYTES, piece: int = PIECE) -> list[str]:
+    """Write (doc_id, ids, place) to files in ascending order of doc_id, nulls first, then place; returns the files in that order.
+
+    place: a number of its own for each row of a written table.
+    """
     lengths = code_lengths(id_counts(tokens, kind))
     sent = ws.spark.sparkContext.broadcast(lengths)
     folder = ws.path("files")
-    by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")]  # the hash splits a doc_id that very many rows share
-    ordered = tokens.repartitionByRange(parts(tokens, rows_each), *by).sortWithinPartitions(*by)
+    cuts = bounds(tokens, file_bytes)
+    ordered = deal(tokens.select("doc_id", "ids", "place"), cuts).repartitionById(len(cuts) + 1, "file").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "place")
 
     def write(batches):
         from pyspark import TaskContext
@@ -200,8 +236,8 @@ def write_ids(ws: Workspace, tokens: DataFrame, kind: str, rows_each: int = 20_0
                 keys = batch.column("doc_id").to_pylist()
                 for key, raw in zip(keys, texts(batch.column("ids")), strict=True):
                     ids, total = np.frombuffer(raw, kind), total + 1
-                    while size + len(ids) > PIECE:  # the segment is full; a long document goes on in the next one
-                        if room := PIECE - size:
+                    while size + len(ids) > piece:  # the segment is full; a long document goes on in the next one
+                        if room := piece - size:
                             docs.append((key, -room))
                             held.append(ids[:room])
                             ids = ids[room:]
@@ -272,7 +308,7 @@ def round_trip(spark: SparkSession, documents: DataFrame, tokenizer: str, end: i
     file and gives no rows. Other columns are ignored.
     """
     ws = Workspace(spark, "token-ids")
-    files = write_ids(ws, ws.save(token_table(documents, tokenizer, end), "tokens"), id_type(tokenizer))
+    files = write_ids(ws, ws.save(token_table(documents, tokenizer, end).withColumn("place", F.monotonically_increasing_id()), "tokens"), id_type(tokenizer))
     ws.drop("tokens")
     back = ws.save(read_ids(spark, files), "read")
     before, at = [], 0

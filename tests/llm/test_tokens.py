@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from helpers import EDGE, real, rows
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestar.llm import huffman as H
@@ -77,16 +78,40 @@ def test_round_trip(spark):
     assert {d: sorted(x) for d, x in mine.items()} == {d: sorted(x) for d, x in want.items()}
 
 
-def test_long_documents_span_segments(spark, monkeypatch):
-    monkeypatch.setattr(H, "PIECE", 1000)
+def test_long_documents_span_segments(spark):
     sizes = [0, 1, 999, 1000, 1001, 2000, 5003, 3, 0]
-    ws = Workspace(spark, "t")
     rng = np.random.default_rng(1)
     docs = [(k, rng.integers(0, 3000, n).astype(np.uint16)) for k, n in enumerate(sizes)]
-    df = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in docs], "doc_id long, ids binary")
-    files = H.write_ids(ws, df, "<u2", rows_each=4)
-    back = [x for f in files for x in H.read_file(f)]
-    assert [k for k, _ in back] == [k for k, _ in docs] and all(np.array_equal(a, b) for (_, a), (_, b) in zip(back, docs, strict=True))
+    df = spark.createDataFrame([(k, bytearray(x.tobytes()), k) for k, x in docs], "doc_id long, ids binary, place long")
+    for file_bytes in (8 << 20, 6000, 500):
+        files = H.write_ids(Workspace(spark, "t"), df, "<u2", file_bytes, 1000)
+        back = [x for f in files for x in H.read_file(f)]
+        assert [k for k, _ in back] == [k for k, _ in docs] and all(np.array_equal(a, b) for (_, a), (_, b) in zip(back, docs, strict=True))
+        assert len(files) >= min(3, 2 * sum(sizes) // file_bytes)
+
+
+def test_files_are_of_equal_bytes(spark):
+    # 100,000 equal rows among others, and long documents in a row
+    ws = Workspace(spark, "t")
+    ids = F.when(F.col("id") < 100_000, F.repeat(F.lit("ab"), 20)).when(F.col("id") < 100_200, F.repeat(F.lit("cd"), 20_000)).otherwise(F.repeat(F.lit("ef"), 30)).cast("binary")
+    key = F.when(F.col("id") < 100_000, F.lit(5)).otherwise(F.col("id"))
+    df = ws.save(spark.range(0, 150_000, 1, 8).select(key.alias("doc_id"), ids.alias("ids"), F.col("id").alias("place")), "in")
+    cuts = H.bounds(df, 1 << 19)
+    sizes = [r.n for r in H.deal(df, cuts).groupBy("file").agg(F.sum(F.octet_length("ids")).alias("n")).collect()]
+    assert len(sizes) == len(cuts) + 1 >= 25 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+    spans = H.deal(df, cuts).groupBy("file").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).orderBy("file").collect()
+    assert all(x.b <= y.a for x, y in zip(spans, spans[1:]))
+
+
+def test_equal_rows_are_dealt(spark):
+    ws = Workspace(spark, "t")
+    table = ws.save(spark.range(0, 100_000, 1, 4).select(F.lit(1).alias("doc_id"), F.when(F.col("id") % 4 == 0, F.lit(512)).otherwise(F.lit(100)).cast("long").alias("length"), F.monotonically_increasing_id().alias("__place")), "in")
+    out = P.assign(ws, table, 512, group=7)
+    assert out.count() == 100_000 and out.select("sequence_id", "offset").distinct().count() == 100_000
+    per = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("m"))
+    assert per.filter("n <> m or n > 512").count() == 0 and per.count() == 25_000 + 75_000 // 5
+    salts = table.filter("length = 100").groupBy(F.pmod(F.xxhash64("__place"), F.lit(-(-75_000 // P.SALT_ROWS)))).count().collect()
+    assert max(r["count"] for r in salts) < 2 * P.SALT_ROWS
 
 
 @pytest.mark.parametrize("seed", range(6))
