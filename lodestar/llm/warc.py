@@ -6,10 +6,14 @@ whose payload of at least ``LEAST`` bytes also belongs to a smaller page_id beco
 record, which holds the HTTP head and the payload's digest but no payload.
 
 Merging: the sorted runs are merged k ways by a loser tree. Runs beyond ``FAN_IN`` are first merged
-in groups. The last merge is dealt by ranges of whole index lines, so that captures of one much-visited
-URL can be split too; a merge task finds its range in each run by the run's fence lines and holds one
-line and one read buffer for each run. The result is the capture history of each URL key, in global
-order over the numbered merged files.
+in groups, level by level; a merged run is a row of files. Each merge is dealt by ranges of whole index
+lines, so that no task gets much more than ``RANGE_LINES`` of them and captures of one much-visited URL
+can be split too; a merge task finds its range in each run by a binary search of the run's fence lines
+and holds one line and one read buffer for each run. The result is the capture history of each URL key,
+in global order over the numbered merged files.
+
+The driver holds the runs' names, the ranges of a level (at most ``MOST_TASKS``) and at most
+``MOST_SAMPLES`` lines of all runs together, which the ranges are cut by.
 
 Files get a name of their own for each attempt; the tables of files, written through Spark's commit
 protocol, list those of the attempts that counted. Lost executors so leave unlisted files at most.
@@ -38,6 +42,8 @@ FENCE = 512
 FAN_IN = 128
 RANGE_LINES = 200_000
 SAMPLES = 64
+MOST_SAMPLES = 200_000
+MOST_TASKS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URI = "urn:lodestar:page:"
 
@@ -136,7 +142,7 @@ class LoserTree:
 class RunWriter:
     """A sorted run: the lines, and every FENCE-th line with its offset in a second file."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, fence: int = FENCE):
         self.fs, root = pa.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
         self.name = f"{name}-{uuid.uuid4().hex[:12]}"
@@ -144,10 +150,10 @@ class RunWriter:
         self.index = self.fs.open_output_stream(f"{root}/{self.name}.fence")
         self.lines = self.at = 0
         self.sample: list[bytes] = []
-        self.every = FENCE
+        self.every = self.fence = fence
 
     def add(self, line: bytes) -> None:
-        if self.lines % FENCE == 0:
+        if self.lines % self.fence == 0:
             self.index.write(b"%d %s\n" % (self.at, line))
         if self.lines % self.every == 0:
             self.sample.append(line)
@@ -168,12 +174,8 @@ def run_lines(folder: str, name: str, low: bytes = b"", high: bytes | None = Non
     fs, root = pa.fs.FileSystem.from_uri(folder)
     at = 0
     if low:
-        with fs.open_input_stream(f"{root}/{name}.fence") as f:
-            for fence in _lines(f):
-                offset, _, line = fence.partition(b" ")
-                if line > low:
-                    break
-                at = int(offset)
+        with fs.open_input_file(f"{root}/{name}.fence") as f:
+            at = _fence_before(f, low)
     with fs.open_input_file(f"{root}/{name}.cdxj") as f:
         f.seek(at)
         for line in _lines(f, 1 << 16):
@@ -183,6 +185,30 @@ def run_lines(folder: str, name: str, low: bytes = b"", high: bytes | None = Non
                 yield line
 
 
+def _fence_before(f, low: bytes) -> int:
+    """The offset of the last fence line that is below ``low``, by binary search; 0 if none is."""
+
+    def line_at(place: int) -> bytes:
+        f.seek(place)
+        out = b""
+        while b"\n" not in out and (data := f.read(1 << 10)):
+            out += data
+        return out.partition(b"\n")[0]
+
+    first, end, found = 0, f.size(), 0
+    while first < end:  # both are beginnings of lines, or the end
+        middle = (first + end) // 2
+        start = middle + len(line_at(middle)) + 1 if middle > first else first
+        start = start if start < end else first
+        line = line_at(start)
+        offset, _, text = line.partition(b" ")
+        if text < low:
+            first, found = start + len(line) + 1, int(offset)
+        else:
+            end = start
+    return found
+
+
 def _lines(f, size: int = 1 << 20) -> Iterator[bytes]:
     rest = b""
     while data := f.read(size):
@@ -197,7 +223,12 @@ def _run_batch(found: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(found, pa.schema([("name", pa.string()), ("lines", pa.int64()), ("sample", pa.list_(pa.binary()))]))
 
 
-def write(ws: Workspace, pages: DataFrame, seconds: Column) -> tuple[DataFrame, list[dict]]:
+def _thin(sample: list, most: int) -> list[bytes]:
+    """At most ``most`` lines, evenly spaced."""
+    return [bytes(x) for x in sample[:: max(1, -(-len(sample) // max(1, most)))]]
+
+
+def write(ws: Workspace, pages: DataFrame, seconds: Column, run_lines: int = RUN_LINES, fence: int = FENCE) -> tuple[DataFrame, list[dict]]:
     """Write archives and index runs; returns the table (file, records) and the runs.
 
     ``seconds``: the capture time of a row in seconds since 1970.
@@ -227,7 +258,7 @@ def write(ws: Workspace, pages: DataFrame, seconds: Column) -> tuple[DataFrame,
             done.append({"kind": "file", "name": name, "n": count, "sample": None})
 
         def close_run():
-            run = RunWriter(folder, f"run-{part:06d}")
+            run = RunWriter(folder, f"run-{part:06d}", fence)
             for line in sorted(lines):
                 run.add(line)
             found = run.close()
@@ -252,7 +283,7 @@ def write(ws: Workspace, pages: DataFrame, seconds: Column) -> tuple[DataFrame,
                     out.write(data)
                     at += len(data)
                     count += 1
-                    if len(lines) >= RUN_LINES:
+                    if len(lines) >= run_lines:
                         close_run()
         if out is not None:
             close_file()
@@ -261,7 +292,9 @@ def write(ws: Workspace, pages: DataFrame, seconds: Column) -> tuple[DataFrame,
         yield pa.RecordBatch.from_pylist(done, pa.schema([("kind", pa.string()), ("name", pa.string()), ("n", pa.int64()), ("sample", pa.list_(pa.binary()))]))
 
     made = ws.save(joined.mapInArrow(scan, "kind string, name string, n long, sample array<binary>"), "made")
-    found = [{"name": r.name, "lines": r.n, "sample": [bytes(x) for x in r.sample]} for r in made.filter("kind = 'run'").orderBy("name").toLocalIterator()]
+    own = made.filter("kind = 'run'")
+    most = MOST_SAMPLES // max(1, own.count())
+    found = [{"name": r.name, "lines": r.n, "sample": _thin(r.sample, most)} for r in own.orderBy("name").toLocalIterator()]
     return made.filter("kind = 'file'").select(F.col("name").alias("file"), F.col("n").alias("records")), found
 
 
@@ -269,35 +302,54 @@ def merge(ws: Workspace, made: list[dict], range_lines: int = RANGE_LINES, fan_i
     """Merge the runs into files in global order; returns them in that order, with their numbers of lines."""
     spark, folder, level = ws.spark, ws.path("archive"), 0
 
-    def merged(groups: list[tuple[list[str], bytes, bytes | None]], name: str) -> list[dict]:
-        sent = spark.sparkContext.broadcast(groups)
+    def ranges(group: list[dict], each: float) -> list[tuple[bytes, bytes | None]]:
+        """Ranges of about ``each`` lines of some runs, by their sample lines."""
+        weighed = sorted((line, r["lines"] / max(1, len(r["sample"]))) for r in group for line in r["sample"])
+        cuts, held = [], 0.0
+        for line, weight in weighed:
+            if held >= each and (not cuts or line > cuts[-1]):
+                cuts.append(line)
+                held = 0.0
+            held += weight
+        return list(zip([b"", *cuts], [*cuts, None], strict=True))
+
+    def merged(groups: list[list[list[tuple[str, bytes]]]], tasks: list[tuple[int, bytes, bytes | None]], name: str) -> list[dict]:
+        """The files made of the tasks (group, from, to), in their order. A run is its files, each with the smallest line that it may hold."""
+        sent = spark.sparkContext.broadcast((groups, tasks))
+
+        def lines(run, low, high):
+            for (file, first), (_, following) in zip(run, [*run[1:], ("", None)], strict=True):
+                if (high is None or first < high) and (following is None or following > low):
+                    yield from run_lines(folder, file, low, high)
 
         def scan(batches):
+            groups, tasks = sent.value
             for batch in batches:
                 for k in batch.column("id").to_pylist():
-                    names, low, high = sent.value[k]
+                    group, low, high = tasks[k]
                     run = RunWriter(folder, f"{name}-{k:06d}")
-                    for line in LoserTree([run_lines(folder, x, low, high) for x in names]):
+                    for line in LoserTree([lines(x, low, high) for x in groups[group]]):
                         run.add(line)
                     yield _run_batch([run.close()])
 
-        done = ws.save(spark.range(0, len(groups), 1, max(1, len(groups))).mapInArrow(scan, _RUNS), name)
-        return [{"name": r.name, "lines": r.lines, "sample": [bytes(x) for x in r.sample]} for r in done.orderBy("name").toLocalIterator()]
+        done = ws.save(spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(scan, _RUNS), name)
+        return [{"name": r.name, "lines": r.lines, "sample": _thin(r.sample, MOST_SAMPLES // len(tasks))} for r in done.orderBy("name").toLocalIterator()]
 
-    while len(made) > fan_in:
-        level += 1
-        made = merged([([r["name"] for r in made[a : a + fan_in]], b"", None) for a in range(0, len(made), fan_in)], f"level-{level}")
     if not made:
         return []
-    weighed = sorted((line, r["lines"] / max(1, len(r["sample"]))) for r in made for line in r["sample"])
-    cuts, held = [], 0.0
-    for line, weight in weighed:
-        if held >= range_lines and (not cuts or line > cuts[-1]):
-            cuts.append(line)
-            held = 0.0
-        held += weight
-    names = [r["name"] for r in made]
-    return merged([(names, low, high) for low, high in zip([b"", *cuts], [*cuts, None], strict=True)], "merged")
+    runs_ = [{"files": [(r["name"], b"")], "lines": r["lines"], "sample": r["sample"]} for r in made]
+    each = max(range_lines, sum(r["lines"] for r in runs_) / MOST_TASKS)
+    while True:
+        level += 1
+        groups = [runs_[a : a + fan_in] for a in range(0, len(runs_), fan_in)]
+        tasks = [(g, *x) for g, group in enumerate(groups) for x in ranges(group, each)]
+        done = merged([[r["files"] for r in group] for group in groups], tasks, f"level-{level}")
+        if len(groups) == 1:
+            return done
+        runs_ = []
+        for g in range(len(groups)):
+            own = [(r, t) for r, t in zip(done, tasks, strict=True) if t[0] == g]
+            runs_.append({"files": [(r["name"], t[1]) for r, t in own], "lines": sum(r["lines"] for r, _ in own), "sample": [x for r, _ in own for x in r["sample"]]})
 
 
 def read_archives(ws: Workspace, files: DataFrame) -> DataFrame:
@@ -382,13 +434,20 @@ def round_trip(spark: SparkSession, pages: DataFrame, seconds: Column | None = N
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pages table through archives and back."""
-    return round_trip(spark, read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-ORACLE_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
-d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS n, sha256(h) AS s FROM p),
-f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY s)
-SELECT page_id, n AS payload_bytes, d.s AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id > first THEN first END AS refers_to FROM d LEFT JOIN f ON d.s = f.s
+    return round_trip(spark, read(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, trim(coalesce(url, ''), E' \t\n\r\x0b\x0c') AS u FROM pages),
+d AS (SELECT page_id, u, CAST(octet_length(encode(h)) AS BIGINT) AS n, sha256(h) AS s FROM p),
+f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY s),
+parts AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)', 1)), ':(80|443)?$', ''), '^www[0-9]*\.', '') AS host,
+  regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS query FROM d),
+keyed AS (SELECT *, CASE WHEN u = '' THEN '-' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' ||
+  CASE WHEN rtrim(lower(path), '/') = '' THEN '/' ELSE rtrim(lower(path), '/') END ||
+  CASE WHEN query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(lower(query), '&')), '&') END END AS url_key,
+  strftime(make_timestamp((1704067200 + coalesce(((page_id % 1000000000) + 1000000000) % 1000000000, 0)) * 1000000), '%Y%m%d%H%M%S') AS captured FROM parts)
+SELECT page_id, n AS payload_bytes, k.s AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to, url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS capture
+FROM keyed k LEFT JOIN f ON k.s = f.s
 """

@@ -50,7 +50,7 @@ def got(df):
     return sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in df.collect()], key=repr)
 
 
-def test_round_trip(spark, monkeypatch):
+def test_round_trip(spark):
     rows, df = table(spark)
     for options in ({}, {"range_lines": 2, "fan_in": 2}):
         out = W.round_trip(spark, df.repartition(5), **options).cache()
@@ -75,16 +75,34 @@ def test_files_are_gzip_members_of_warc(spark):
     assert entries == sorted(entries) and len(entries) == 14
 
 
-def test_ranges_split_one_hot_key(spark, monkeypatch):
-    monkeypatch.setattr(W, "RUN_LINES", 40)
-    monkeypatch.setattr(W, "FENCE", 4)
+def test_ranges_split_one_hot_key(spark):
     ws = Workspace(spark, "w")
     df = spark.range(0, 500).select(F.col("id").alias("page_id"), F.lit("http://hot.example/").alias("url"), F.concat(F.lit("payload "), F.col("id")).alias("html")).repartition(3)
-    _, made = W.write(ws, df, W.by_page_id())
-    assert len(made) >= 3
-    merged = W.merge(ws, made, range_lines=60, fan_in=4)
-    lines = [x for r in merged for x in W.run_lines(ws.path("archive"), r["name"])]
-    assert len(merged) >= 4 and len(lines) == 500 and lines == sorted(lines)
+    _, made = W.write(ws, df, W.by_page_id(), run_lines=40, fence=4)
+    assert len(made) >= 13
+    want = sorted(x for r in made for x in W.run_lines(ws.path("archive"), r["name"]))
+    for fan_in in (2, 4, 128):  # four levels, two, one
+        merged = W.merge(ws, made, range_lines=60, fan_in=fan_in)
+        assert [x for r in merged for x in W.run_lines(ws.path("archive"), r["name"])] == want
+        assert len(merged) >= 4 and max(r["lines"] for r in merged) < 4 * 60
+
+
+def test_fences_are_found(spark):
+    ws = Workspace(spark, "w")
+    lines = [b"%04d %s" % (k, b"x" * (k % 3000)) for k in range(0, 2000, 2)]
+    run = W.RunWriter(ws.path("archive"), "r", 7)
+    for x in lines:
+        run.add(x)
+    name = run.close()["name"]
+    for low in (b"0000", b"0001", b"1", b"0998 ", b"1999", b"9", lines[14], lines[500], lines[-1]):
+        assert list(W.run_lines(ws.path("archive"), name, low)) == [x for x in lines if x >= low]
+        assert list(W.run_lines(ws.path("archive"), name, low, b"1500")) == [x for x in lines if low <= x < b"1500"]
+    fs, root = W.pa.fs.FileSystem.from_uri(ws.path("archive"))
+    with fs.open_input_file(f"{root}/{name}.fence") as f:
+        want = [(int(x.partition(b" ")[0]), x.partition(b" ")[2]) for x in f.read().split(b"\n")[:-1]]
+    with fs.open_input_file(f"{root}/{name}.fence") as f:
+        for low in (b"0", b"0001", lines[70], lines[71], b"2"):
+            assert W._fence_before(f, low) == max([a for a, x in want if x < low], default=0)
 
 
 def test_empty(spark):
