@@ -176,3 +176,20 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fold(read(spark, sf_dir, "documents"))
     profiles = learn(docs.filter("not held_out and doc_id is not null"))
     return identify(spark, docs, profiles, ["doc_id", "held_out"])
+
+
+#: A CRC-32 by its table; letters as Unicode has them.
+ORACLE_SQL = r"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(0, 256) x(i))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', ' ', 'g')) AS n,
+  list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) % 256) + 1])) AS c FROM documents, crc),
+f AS (SELECT rid, doc_id, lang, coalesce(xor(c, 4294967295) % 4 = 2, false) AS held_out, list_transform(string_split(' ' || n || ' ', ''), lambda x: CAST(unicode(x) AS BIGINT)) AS l FROM d),
+u AS (SELECT rid, unnest(l) AS a, unnest(l[2:]) AS b, unnest(l[3:]) AS c FROM f JOIN d USING (rid) WHERE n <> ''),
+g AS (SELECT rid, g, count(*) AS n FROM (SELECT rid, a AS g FROM u WHERE a <> 32 UNION ALL SELECT rid, a * 2097152 + b FROM u WHERE b IS NOT NULL
+  UNION ALL SELECT rid, a * 4398046511104 + b * 2097152 + c FROM u WHERE c IS NOT NULL AND b <> 32) GROUP BY rid, g),
+p AS (SELECT lang, g, r FROM (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) - 1 AS r FROM g JOIN f USING (rid) WHERE NOT held_out AND doc_id IS NOT NULL AND lang IS NOT NULL GROUP BY lang, g) WHERE r < 400),
+own AS (SELECT rid, g, r, count(*) OVER (PARTITION BY rid) AS m FROM (SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY n DESC, g) - 1 AS r FROM g) WHERE r < 400),
+away AS (SELECT rid, l.lang, any_value(m) AS m, sum(coalesce(abs(p.r - own.r), 400)) AS x FROM own CROSS JOIN (SELECT DISTINCT lang FROM p) l LEFT JOIN p ON p.lang = l.lang AND p.g = own.g GROUP BY rid, l.lang),
+best AS (SELECT rid, lang, 1 - CAST(x AS DOUBLE) / CAST(400 * m AS DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY x, lang) AS k FROM away) WHERE k = 1)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, 0) AS score FROM f LEFT JOIN best USING (rid)
+"""

@@ -8,8 +8,8 @@ _FUNCTIONS = [
     extract.op1_extract, pii.op2_pii, warc.op3_warc, quality.op4_quality, suffix_dedup.op5_suffix_dedup,
     packing.op6_packing, langid.op7_langid, simhash.op8_simhash, decontaminate.op9_decontaminate, huffman.op10_huffman,
 ]
-#: The others rest on trained models, trees of pages, byte strings or files, which SQL cannot express; tests hold them against plain code.
-_SQL = {"op3_warc": warc.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL}
+#: The others rest on trained trees, trees of pages, keyed permutations, XXH64 or a tokenizer, which SQL cannot express; tests hold them against plain code.
+_SQL = {"op3_warc": warc.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op7_langid": langid.ORACLE_SQL, "op9_decontaminate": decontaminate.ORACLE_SQL}
 
 
 def queries():
