@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_entries():
     """Every (name, callable, oracle SQL) of the engine."""
-    from lodestar.plans import relational, tpch
+    from lodestar.plans import endpoints, relational, tpch
 
-    return [*tpch.ENTRIES, *relational.ENTRIES]
+    return [*tpch.ENTRIES, *relational.ENTRIES, *endpoints.ENTRIES]

@@ -13,20 +13,14 @@ from lodestar.operators.project import compute, rename
 from lodestar.operators.scan import scan
 from lodestar.operators.sort import sort, top
 from lodestar.operators.subquery import per_key, value
+from lodestar.plans._register import registrar
 from lodestar.plans.derived import CX, LX, PS, cx, lx, ps
 
 C = F.col
 ENTRIES: list[tuple] = []
 
 
-def query(sql: str):
-    """Register a plan under its function's name together with its SQL."""
-
-    def put(fn):
-        ENTRIES.append((fn.__name__, fn, sql))
-        return fn
-
-    return put
+query = registrar(ENTRIES)
 
 
 def _filter(name, table, columns, where, sql_where, with_=""):

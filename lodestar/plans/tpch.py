@@ -8,12 +8,14 @@ reduce before they are joined; each fact table is scanned with only the columns
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.exprs import charge, contains, count_if, money, ratio, revenue, starts, ts, year_of
 from lodestar.operators.aggregate import rows
 from lodestar.operators.join import exists, not_exists, not_in
 from lodestar.operators.subquery import per_key, value
+from lodestar.plans._register import registrar
 from lodestar.plans.derived import CX, LX, PS, cx, lx, ps
 from lodestar.sources.catalog import table
 
@@ -21,12 +23,7 @@ C = F.col
 ENTRIES: list[tuple] = []
 
 
-def query(sql: str):
-    def put(fn):
-        ENTRIES.append((f"tpch_{fn.__name__}", fn, sql))
-        return fn
-
-    return put
+query = registrar(ENTRIES, "tpch_")
 
 
 @query("""
@@ -207,7 +204,8 @@ SELECT c_count, COUNT(*) AS custdist FROM (SELECT c_custkey, COUNT(o_orderkey) A
   ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%N%SPEC%' AND o_orderdate >= TIMESTAMP '2000-06-01' GROUP BY c_custkey) GROUP BY c_count ORDER BY custdist DESC, c_count DESC""")
 def q13(spark, d):
     o = table(spark, d, "orders").filter(~C("o_orderpriority").like("%N%SPEC%") & (C("o_orderdate") >= ts("2000-06-01")))
-    each = table(spark, d, "customer").join(o, C("c_custkey") == C("o_custkey"), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("c_count"))
+    n = o.groupBy("o_custkey").agg(F.count("o_orderkey").alias("n"))  # before the join, which is by the same key
+    each = table(spark, d, "customer").select("c_custkey").join(n, C("c_custkey") == C("o_custkey"), "left").select(F.coalesce("n", F.lit(0)).alias("c_count"))
     return each.groupBy("c_count").agg(rows().alias("custdist")).orderBy(C("custdist").desc(), C("c_count").desc())
 
 
@@ -237,9 +235,10 @@ WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#4' AND p_type NOT LIKE 'MEDIU
 GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""")
 def q16(spark, d):
     p = table(spark, d, "part").filter((C("p_brand") != "Brand#4") & ~starts("p_type", "MEDIUM") & C("p_size").isin(49, 14, 23, 45, 19, 3, 36, 9))
-    offers = ps(spark, d, p).join(p, C("ps_partkey") == C("p_partkey"))
-    kept = not_in(offers, "ps_suppkey", table(spark, d, "supplier").filter("s_acctbal < 0"), "s_suppkey")
-    return kept.groupBy("p_brand", "p_type", "p_size").agg(F.countDistinct("ps_suppkey").alias("supplier_cnt")).orderBy(C("supplier_cnt").desc(), "p_brand", "p_type", "p_size")
+    # suppliers are counted once each, so line items serve as well as the pairs made of them
+    offers = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(p, C("l_partkey") == C("p_partkey"))
+    kept = not_in(offers, "l_suppkey", table(spark, d, "supplier").filter("s_acctbal < 0"), "s_suppkey")
+    return kept.groupBy("p_brand", "p_type", "p_size").agg(F.countDistinct("l_suppkey").alias("supplier_cnt")).orderBy(C("supplier_cnt").desc(), "p_brand", "p_type", "p_size")
 
 
 @query("""
@@ -248,8 +247,8 @@ WHERE p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity < (SELECT 0.
 def q17(spark, d):
     p = table(spark, d, "part").filter("p_brand = 'Brand#23'").select("p_partkey")
     li = table(spark, d, "lineitem").join(p, C("l_partkey") == C("p_partkey")).select("p_partkey", "l_quantity", "l_extendedprice")
-    mean = per_key(li, {"p_partkey": "pk"}, half=0.5 * F.avg("l_quantity"))
-    return li.join(mean, (C("p_partkey") == C("pk")) & (C("l_quantity") < C("half"))).agg(ratio(F.sum("l_extendedprice") / 7.0).alias("avg_yearly"))
+    each = li.withColumn("half", 0.5 * F.avg("l_quantity").over(Window.partitionBy("p_partkey")))  # one scan and one shuffle, of the parts asked for
+    return each.filter(C("l_quantity") < C("half")).agg(ratio(F.sum("l_extendedprice") / 7.0).alias("avg_yearly"))
 
 
 @query("""
@@ -315,10 +314,12 @@ WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus
 def q21(spark, d):
     s = table(spark, d, "supplier").join(table(spark, d, "nation").filter("n_regionkey = 2"), C("s_nationkey") == C("n_nationkey")).select("s_suppkey", "s_name")
     li = lx(spark, d).select("l_orderkey", "l_suppkey", (C("l_receiptdate") > C("l_commitdate")).alias("late"))
-    waits = li.filter("late").join(s, C("l_suppkey") == C("s_suppkey")).join(table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey"), C("l_orderkey") == C("o_orderkey")).alias("l1")
-    other = lambda x: (C("l1.l_orderkey") == C(f"{x}.l_orderkey")) & (C("l1.l_suppkey") != C(f"{x}.l_suppkey"))
-    alone = not_exists(exists(waits, li.alias("l2"), other("l2")), li.filter("late").alias("l3"), other("l3"))
-    return alone.groupBy("s_name").agg(rows().alias("numwait")).orderBy(C("numwait").desc(), "s_name").limit(100)
+    # an order answers both subqueries by its smallest and largest supplier, of all lines and of the late ones
+    late = F.when(C("late"), C("l_suppkey"))
+    each = li.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("low"), F.max("l_suppkey").alias("high"), F.min(late).alias("one"), F.max(late).alias("other"), F.count(late).alias("n"))
+    alone = each.filter((C("low") != C("high")) & (C("one") == C("other")))
+    waits = alone.join(table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey"), C("l_orderkey") == C("o_orderkey")).join(s, C("one") == C("s_suppkey"))
+    return waits.groupBy("s_name").agg(F.sum("n").alias("numwait")).orderBy(C("numwait").desc(), "s_name").limit(100)
 
 
 @query(f"""WITH {CX}
