@@ -15,24 +15,32 @@ TABLES = (
 )
 
 
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
+_SCHEMAS: dict[tuple, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the catalog, lazily; columns are pruned and filters pushed down by Spark.
 
-    The schema is read from the files' footers once for each path and application, as a catalog
-    would hold it, so that building a plan starts no job. ``refresh`` forgets it.
+    The schema is read from the files' footers once for each state of a path, as a catalog would hold
+    it, so that building a plan starts no job. Files that replace others have another time or length,
+    and so a schema of their own. ``refresh`` forgets all of them.
     """
     path = f"{sf_dir}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (spark.sparkContext.applicationId, path, *_state(spark, path))
     if key not in _SCHEMAS:
         _SCHEMAS[key] = spark.read.parquet(path).schema
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a file or directory was changed, and its length."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at)
+    return found.getModificationTime(), found.getLen()
+
+
 def refresh() -> None:
-    """Forget the schemas of tables whose files were replaced by others."""
+    """Forget all schemas."""
     _SCHEMAS.clear()
 
 
