@@ -66,7 +66,7 @@ _filter("filter_cmp_date", "orders", ["o_orderkey", "o_orderdate"], lambda: (C("
 _filter("filter_col_col", "lx", ["l_orderkey", "l_commitdate", "l_receiptdate"], lambda: C("l_commitdate") < C("l_receiptdate"), "l_commitdate < l_receiptdate", LX)
 _filter("filter_ne_not", "part", ["p_partkey", "p_brand", "p_size"], lambda: (C("p_brand") != "Brand#4") & ~(C("p_size") > 20), "p_brand <> 'Brand#4' AND NOT (p_size > 20)")
 _filter("filter_and_or", "part", ["p_partkey", "p_brand", "p_size", "p_type"], lambda: ((C("p_brand") == "Brand#1") & (C("p_size") < 10)) | ((C("p_type") == "PROMO") & (C("p_size") > 40)), "(p_brand = 'Brand#1' AND p_size < 10) OR (p_type = 'PROMO' AND p_size > 40)")
-_filter("filter_between", "lineitem", ["l_orderkey", "l_discount"], lambda: C("l_discount").between(0.05, 0.07), "l_discount BETWEEN 0.06 - 0.01 AND 0.06 + 0.01")
+_filter("filter_between", "lineitem", ["l_orderkey", "l_discount"], lambda: C("l_discount").between(F.expr("0.06 - 0.01"), F.expr("0.06 + 0.01")), "l_discount BETWEEN 0.06 - 0.01 AND 0.06 + 0.01")
 _filter("filter_in_str", "customer", ["c_custkey", "c_mktsegment"], lambda: C("c_mktsegment").isin("BUILDING", "MACHINERY"), "c_mktsegment IN ('BUILDING', 'MACHINERY')")
 _filter("filter_in_int", "part", ["p_partkey", "p_size"], lambda: C("p_size").isin(1, 7, 49), "p_size IN (1, 7, 49)")
 _filter("filter_in_float", "lineitem", ["l_orderkey", "l_discount"], lambda: C("l_discount").isin(0.02, 0.09), "l_discount IN (0.02, 0.09)")

@@ -102,7 +102,7 @@ def q5(spark, d):
 SELECT ROUND(SUM(l_extendedprice * l_discount), 4) AS revenue FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01' AND l_discount BETWEEN 0.06 - 0.01 AND 0.06 + 0.01 AND l_quantity < 24""")
 def q6(spark, d):
-    li = table(spark, d, "lineitem").filter((C("l_shipdate") >= ts("1997-01-01")) & (C("l_shipdate") < ts("1998-01-01")) & C("l_discount").between(0.05, 0.07) & (C("l_quantity") < 24))
+    li = table(spark, d, "lineitem").filter((C("l_shipdate") >= ts("1997-01-01")) & (C("l_shipdate") < ts("1998-01-01")) & C("l_discount").between(F.expr("0.06 - 0.01"), F.expr("0.06 + 0.01")) & (C("l_quantity") < 24))
     return li.agg(money(F.sum(C("l_extendedprice") * C("l_discount")), 4).alias("revenue"))
 
 
@@ -270,8 +270,8 @@ SELECT ROUND(SUM(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lx, par
 WHERE (p_partkey = l_partkey AND p_brand IN ('Brand#12', 'Brand#13') AND p_type = 'PROMO' AND l_quantity >= 1 AND l_quantity <= 1 + 20 AND p_size BETWEEN 1 AND 25 AND l_shipmode IN ('AIR', 'MAIL'))
    OR (p_partkey = l_partkey AND p_brand IN ('Brand#3', 'Brand#4') AND p_type = 'SMALL' AND l_quantity >= 10 AND l_quantity <= 10 + 30 AND p_size BETWEEN 1 AND 50 AND l_shipmode IN ('AIR', 'SHIP'))""")
 def q19(spark, d):
-    one = C("p_brand").isin("Brand#12", "Brand#13") & (C("p_type") == "PROMO") & C("l_quantity").between(1, 21) & C("p_size").between(1, 25) & C("l_shipmode").isin("AIR", "MAIL")
-    two = C("p_brand").isin("Brand#3", "Brand#4") & (C("p_type") == "SMALL") & C("l_quantity").between(10, 40) & C("p_size").between(1, 50) & C("l_shipmode").isin("AIR", "SHIP")
+    one = C("p_brand").isin("Brand#12", "Brand#13") & (C("p_type") == "PROMO") & C("l_quantity").between(1, F.lit(1) + 20) & C("p_size").between(1, 25) & C("l_shipmode").isin("AIR", "MAIL")
+    two = C("p_brand").isin("Brand#3", "Brand#4") & (C("p_type") == "SMALL") & C("l_quantity").between(10, F.lit(10) + 30) & C("p_size").between(1, 50) & C("l_shipmode").isin("AIR", "SHIP")
     return lx(spark, d).join(table(spark, d, "part"), (C("p_partkey") == C("l_partkey")) & (one | two)).agg(money(F.sum(revenue()), 4).alias("revenue"))
 
 
