@@ -67,6 +67,41 @@ def test_permutation_without_fixed_point():
     assert [P.Permutations(b"other")(x, 1000, "t") for x in range(9)] != [p(x, 1000, "t") for x in range(9)]
 
 
+def brute_overrides(texts, maker):
+    """The attempts above 0 of entities, by the rule: a surrogate must be no real value, and the smallest of those that draw it has it."""
+    fold = lambda kind, x: ("name", x.lower()) if kind.startswith(("name", "given ")) else (kind, x)
+    pending = {(P._group(k), v) for t in texts for *_, k, v in P.detect(t or "")}
+    pending |= {("domain", v.partition("@")[2]) for k, v in pending if k == "email" and P.own_domain(v.partition("@")[2])}
+    real, taken, out, attempt = {fold(*x) for x in pending}, set(), {}, 0
+    while pending:
+        drawn = {}
+        for kind, value in pending:
+            drawn.setdefault(fold(kind, maker.surrogate(kind, value, attempt)), []).append((kind, value))
+        won = {new: min(x) for new, x in drawn.items() if new not in real and new not in taken}
+        taken |= set(won)
+        out |= {x: attempt for x in won.values() if attempt}
+        pending -= set(won.values())
+        attempt += 1
+    return out
+
+
+def plain(texts, key):
+    """Every text with its surrogates, by brute force."""
+    maker = P.Surrogates(key)
+    overrides = brute_overrides(texts, maker)
+    return [None if t is None else P.replace(t, maker, overrides)[0] for t in texts]
+
+
+@pytest.mark.parametrize("most_sent", [50_000, 0])
+def test_against_brute_force(spark, most_sent):
+    docs = [(r.doc_id, r.text) for r in real(spark).collect()] + [(10_000 + (r[0] or 0), r[1]) for r in EDGE] + [(20_000 + i, t) for i, (t, _) in enumerate(CASES)]
+    docs += [(30_000 + i, f"{n} Weber and Dr. {n}, {n.lower()}@firma-{n[0].lower()}.de or {c}@x{c}.org") for i, (n, c) in enumerate(zip(P.GIVEN["m", "latin"], "abcdefghijklmnopqrstuvwxyz" * 2))]
+    texts = [t for _, t in docs]
+    assert len(brute_overrides(texts, P.Surrogates(KEY))) > 20  # so many are drawn again
+    out = P.surrogates(spark, rows(spark, docs), KEY, most_sent=most_sent).collect()
+    assert sorted((repr(r.doc_id), repr(r.text)) for r in out) == sorted((repr(d), repr(t)) for (d, _), t in zip(docs, plain(texts, KEY), strict=True))
+
+
 @pytest.mark.parametrize("most_sent", [50_000, 0])
 def test_collisions_are_resolved(spark, most_sent):
     # nearly all addresses of a small format are real, so first surrogates collide
