@@ -99,6 +99,8 @@ _SHORTER = [re.compile(rf"(?:{_PLAN})(?!\w)"), *(re.compile(rf"{_ABROAD}{{1,{k}}
 #: Numbers of no plan that is known here, after a word that tells what they are.
 _CUED = re.compile(r"(?i)(?<!\w)(?:tel(?:efon|ephone|efono|éfono)?|téléphone|tél|phone|fon|fax|mobile?|móvil|handy|cell|portable|call|ring)\.?(?: (?:no|nr|number|at|us at|me at))?\.?:? {0,2}(\(?[0-9][0-9 ()./-]{5,20}[0-9])(?![\w-]|[.,][0-9])")
 _CARD = re.compile(r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4}){2}(?:\1[0-9]{1,3})?|3[47][0-9]{2}([ -])[0-9]{6}\2[0-9]{5})(?![\w-]|\.[0-9])")
+#: The issuers' numbers and lengths; the group is what names the issuer (fixed values).
+_ISSUER = re.compile(r"(4)(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(5[1-5])[0-9]{14}|(222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|(3[47])[0-9]{13}|(6011|64[4-9]|65|62)[0-9]{12,17}|(352[89]|35[3-8][0-9])[0-9]{12,15}|(30[0-5]|36|38)[0-9]{11,12}|(5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{9,15}")
 _SSN = re.compile(r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _AWS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
@@ -217,6 +219,12 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def _issuer(digits: str) -> int:
+    """How many digits of a card's number name its issuer; 0 if it is none's."""
+    m = _ISSUER.fullmatch(digits)
+    return len(m[m.lastindex]) if m else 0
+
+
 def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
@@ -288,7 +296,7 @@ class Surrogates:
         if kind == "card":
             offset = (int(value[-1]) - luhn(value[:-1])) % 10
             body = value[:-1] + "0" * more
-            keep = 2 if body[0] == "3" else 1  # the issuer
+            keep = _issuer(value)
             body = self._mixed(f"{label}|{offset}", body, [""] * keep + [DIGITS] * (len(body) - keep))
             return body + str((luhn(body) + offset) % 10)
         if kind == "iban":
@@ -383,7 +391,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((*m.span(), "iban", value))
         for m in _CARD.finditer(flat):
             value = re.sub(r"\D", "", m[0])
-            if value[0] in "23456" and luhn(value[:-1]) == int(value[-1]):  # other long numbers are no cards
+            if _issuer(value) and luhn(value[:-1]) == int(value[-1]):  # other long numbers are no cards
                 found.append((*m.span(), "card", value))
         found += [(*m.span(), "ssn", m[0].replace("-", "")) for m in _SSN.finditer(flat)]
         for a, b in _phones(flat):

@@ -271,3 +271,14 @@ def test_clashing_columns(spark):
         assert (r["__n"], r["__kinds"], r["__k1"], r["__own"], r["k2"]) == (10, "email", 7, "own", 8)
         assert not set(r.text.split()) & set(mails.split()) and len(set(r.text.split())) == 10
     assert P.rewritten(spark, docs).columns == docs.columns and P.rewritten(spark, docs).collect()[0]["__n"] == 5
+
+
+def test_cards_are_those_of_issuers():
+    maker = P.Surrogates(KEY)
+    for real_ in ("4111111111111111", "5500005555555559", "2223003122003222", "378282246310005", "6011000990139424", "3530111333300000", "30569309025904", "6759649826438453"):
+        new, kinds = P.replace(f"card {real_} x", maker, {})
+        mine = new[5:-2]
+        assert kinds == ["card"] and mine != real_ and len(mine) == len(real_) and P._issuer(mine) == P._issuer(real_) and mine[: P._issuer(mine)] == real_[: P._issuer(real_)]
+        assert [k for *_, k, _ in P.detect(new)] == ["card"]
+    for other in ("2111111111111113", "5900000000000000", "7000000000000005", "1234567890123452"):  # with right check digits
+        assert P.replace(f"id {other} x", maker, {})[1] == []
