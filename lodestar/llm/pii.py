@@ -82,6 +82,12 @@ def _ranges(kinds: str) -> str:
     return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+#: Digits of other scripts begin with none of these bytes.
+_NO_DIGITS = bytes(range(0xD9))
+_ASCII_RUNS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+#: The first run of ASCII letters of each title and given name that has one.
+_TITLE_RUNS, _GIVEN_RUNS = (frozenset(x for n in names if (x := (re.match("[A-Za-z]*", n)[0]).encode())) for names in ([t for x in TITLES.values() for t in x], [n for x in GIVEN.values() for n in x]))
+_SAYS = ("y name is", "ein name ist", "ch heiße", "e m'appelle", "e m’appelle", "e llamo", "i nombre es")
 _GENDER = {n: key for key, names in GIVEN.items() for n in names}
 _LETTER = _ranges("Lu Ll Lt Lm Lo Mn Mc") + "\U00010000-\U0001efff\U00020000-\U0003ffff"
 #: Up to four ideographs or Korean syllables, or a word that does not begin with a small letter.
@@ -371,12 +377,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of each entity, in order, without overlaps; of overlapping ones the first, then the longest."""
     found: list[tuple[int, int, str, str]] = []
     low, flat = text.lower(), _flat(text)
+    titled, given = _names_in(text)
     if "=" in text or ":" in text:
         if any(w in low for w in ("passw", "pwd", "token", "secret", "key")):
             for m in _SECRET.finditer(text):
                 k = next(i for i in (1, 2, 3) if m[i] is not None)
                 found.append((*m.span(k), "secret", m[k]))
-        found += [(*m.span(), "ip6", x) for m in _IP6.finditer(text) if (x := _ip6(m[0])) is not None]
+        found += [(*m.span(), "ip6", x) for m in (_IP6.finditer(text) if text.count(":") > 1 else ()) if (x := _ip6(m[0])) is not None]
     if "@" in text:
         found += [(*m.span(), "email", lower(m[0])) for m in _EMAIL.finditer(text)]
     if "AKIA" in text or "ASIA" in text:
@@ -401,17 +408,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             head = value[: max(0, len(value) - 10)] if abroad else ""
             # +1 and a bare ten-digit number are one entity
             found.append((a, b, "phone", f"{'' if head == '1' else head} {value[len(head) :]}"))
-    for m in _TITLED.finditer(text):
+    for m in _TITLED.finditer(text) if titled else ():
         gender = _TITLE_GENDER[m[1]]
         first, last = (m[2], m[3]) if m[3] else (None, m[2])
         if first:
             found.append((*m.span(2), *_given(first, gender)))
         found.append(_last(*m.span(3 if first else 2), last))
-    for m in _SAID.finditer(text):
+    for m in _SAID.finditer(text) if any(x in low for x in _SAYS) else ():
         if m[2]:
             found.append((*m.span(1), *_given(m[1], "")))
         found.append(_last(*m.span(2 if m[2] else 1), m[2] or m[1]))
-    for m in _GIVEN.finditer(text):
+    for m in _GIVEN.finditer(text) if given else ():
         found.append((*m.span(1), *_given(m[1], "")))
         found.append(_last(*m.span(2), m[2]))
     out = _apart(found)
@@ -456,11 +463,21 @@ def _apart(found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str,
 
 def _flat(text: str) -> str:
     """With the decimal digits of all scripts as those of ASCII; of the same length."""
-    if text.isascii() or not (other := {c for c in text if not c.isascii() and c.isdecimal()}):
+    if text.isascii() or not text.encode("utf-8", "replace").translate(None, _NO_DIGITS):
+        return text
+    if not (other := {c for c in set(text) if not c.isascii() and c.isdecimal()}):
         return text
     return text.translate({ord(c): str(unicodedata.decimal(c)) for c in other})
 
 
+def _names_in(text: str) -> tuple[bool, bool]:
+    """Whether a text may have a title, and a listed given name: by its runs of ASCII letters; where other alphabets have some, by their letters."""
+    raw = text.encode("utf-8", "replace")
+    runs_ = set(raw.translate(_ASCII_RUNS).split())
+    other = any(x in raw for x in (b"\xce", b"\xcf", b"\xd0", b"\xd1"))  # Greek and Cyrillic
+    return other or not runs_.isdisjoint(_TITLE_RUNS), other or not runs_.isdisjoint(_GIVEN_RUNS)
+
+
 def _phones(text: str):
     """(start, end) of phone numbers of 8 to 15 digits (7 after a word for one); of a longer match, as many groups as are one."""
     for m in _CUED.finditer(text):
