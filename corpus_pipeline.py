@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 last return the columns of documents. A stage is lazy or writes its own intermediate tables to the
 shared folder; ``run`` also writes each stage's result there, so that no stage is computed twice and
 a lost executor costs one stage at most.
+
+A null or empty text has no words, so the first stage rejects it; very long texts are worked on whole.
+A null id stays null and is as good as others, but of a group of near-duplicates a row with an id stays
+before one without. Of fully equal rows one stays. Columns that documents have besides their own go
+through the first four stages unchanged, whatever their names. Empty tables give no rows. Surrogates
+are made with the session's ``spark.lodestar.pii.secret``, or a key that only this application has.
 """
 
 from __future__ import annotations
