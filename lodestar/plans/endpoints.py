@@ -15,6 +15,7 @@ from lodestar.operators.aggregate import rows
 from lodestar.plans._register import registrar
 from lodestar.sources import sinks
 from lodestar.sources.catalog import register_views, table
+from lodestar.sources.plans import PlanCache
 from lodestar.sources.sql import run_file, run_sql
 
 ENTRIES: list[tuple] = []
@@ -74,6 +75,15 @@ def sink_metrics(spark, d):
     return spark.createDataFrame([(of("Scan", "numOutputRows")[0], of("HashAggregate", "numOutputRows")[0], of("Exchange", "shuffleBytesWritten")[0] > 0)], "scanned long, made long, moved boolean")
 
 
+@query("SELECT c_mktsegment, n, mean, 1 AS built, 1 AS found FROM (" + _SEGMENTS + ")")
+def plan_cache(spark, d):
+    """A query that is asked for twice: built once, found once."""
+    held = PlanCache(spark)
+    for _ in range(2):
+        df = held.get("segments", _segments, d)
+    return df.withColumns({"built": F.lit(held.built), "found": F.lit(held.found)})
+
+
 @query("SELECT true AS timed, true AS moved")
 def sink_stages(spark, d):
     """What the stages of a run say: that they have times, and that bytes went from one to another."""

@@ -26,16 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     and so a schema of their own. ``refresh`` forgets all of them.
     """
     path = f"{sf_dir}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path, *_state(spark, path))
+    key = (spark.sparkContext.applicationId, path, *(state(spark, path) or ()))
     if key not in _SCHEMAS:
         _SCHEMAS[key] = spark.read.parquet(path).schema
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
-def _state(spark: SparkSession, path: str) -> tuple[int, int]:
-    """When a file or directory was changed, and its length."""
+def state(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """When a file or directory was changed, and its length; None if there is none."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(at)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(at):
+        return None
+    found = files.getFileStatus(at)
     return found.getModificationTime(), found.getLen()
 
 

@@ -192,3 +192,16 @@ def test_windowed_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").agg(F.sum("n")).collect()[0][0] == events.count()
+
+
+def test_plan_cache_builds_anew_for_other_files(spark, tmp_path):
+    from lodestar.sources.catalog import table
+    from lodestar.sources.plans import PlanCache
+
+    held = PlanCache(spark)
+    for n in (3, 5):
+        spark.range(n).withColumnRenamed("id", "r_regionkey").write.mode("overwrite").parquet(f"{tmp_path}/region.parquet")
+        for _ in range(3):
+            assert held.get("q", lambda s, d: table(s, d, "region").agg(A.rows().alias("n")), str(tmp_path)).collect()[0].n == n
+        time.sleep(0.02)
+    assert (held.built, held.found) == (2, 4)
