@@ -91,7 +91,10 @@ _SAYS = ("y name is", "ein name ist", "ch heiße", "e m'appelle", "e m’appelle
 _GENDER = {n: key for key, names in GIVEN.items() for n in names}
 _LETTER = _ranges("Lu Ll Lt Lm Lo Mn Mc") + "\U00010000-\U0001efff\U00020000-\U0003ffff"
 #: Up to four ideographs or Korean syllables, or a word that does not begin with a small letter.
-_CAP = rf"(?:[\u3400-\u9fff\uac00-\ud7a3]{{1,4}}|[{_ranges('Lu Lt Lo')}][{_LETTER}]+(?:['’-][{_LETTER}]+)*)"
+_FIRST = _ranges("Lu Lt Lo")
+_CAP = rf"(?:[\u3400-\u9fff\uac00-\ud7a3]{{1,4}}|[{_FIRST}](?:['’][{_FIRST}])?[{_LETTER}]+(?:['’-][{_LETTER}]+)*)"
+#: Initials and particles before a name (fixed values).
+_LINK = rf"(?:[{_FIRST}]\.[  ]?|(?:van|von|de|der|den|del|della|di|da|dos|du|la|le|bin|ibn|al|zu|ter)[  ]){{0,3}}"
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w+%-]+(?:\.[\w+%-]+)*@(?:[^\W_](?:(?:[^\W_]|-)*[^\W_])?\.)+(?:xn--[a-z0-9-]+|[A-Za-z]{2,}(?![A-Za-z0-9_-])|[^\W\d_]{2,}(?![\w-]))")
 _IP4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")
 #: Eight groups, or fewer and a double colon; ipaddress tells which of them are addresses.
@@ -113,9 +116,9 @@ _AWS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)")
 _MARK = re.compile(r"(?:gh[pousr]_|sk-|xox[abprs]-|AIza|glpat-)?")
 _MARKED = re.compile(r"(?<!\w)(?:gh[pousr]_|sk-|xox[abprs]-|AIza|glpat-)[A-Za-z0-9_-]{16,}")
 _SECRET = re.compile(r"(?i)(?<![a-z0-9])(?:password|passwd|passwort|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*(?:\"([^\"\n]{4,}+)\"|'([^'\n]{4,}+)'|[\"']?([^\s\"',;]{4,}+))")
-_TITLED = re.compile(rf"(?<!\w)({'|'.join(t for x in TITLES.values() for t in x)})\.?[  ]({_CAP})(?:[  ]({_CAP}))?")
-_SAID = re.compile(rf"(?<!\w)(?:[Mm]y name is|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es)[  ]({_CAP})(?:[  ]({_CAP}))?")
-_GIVEN = re.compile(rf"(?<!\w)({'|'.join(_GENDER)})[  ]({_CAP})")
+_TITLED = re.compile(rf"(?<!\w)({'|'.join(t for x in TITLES.values() for t in x)})\.?[  ]{_LINK}({_CAP})(?:[  ]{_LINK}({_CAP}))?")
+_SAID = re.compile(rf"(?<!\w)(?:[Mm]y name is|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es)[  ]{_LINK}({_CAP})(?:[  ]{_LINK}({_CAP}))?")
+_GIVEN = re.compile(rf"(?<!\w)({'|'.join(_GENDER)})[  ]{_LINK}({_CAP})")
 _WORDS = re.compile(rf"(?<!\w){_CAP}(?!\w)")
 _PART = re.compile(r"[^'’-]+")
 _IDEOGRAPHS = re.compile(r"[\u3400-\u9fff\uac00-\ud7a3]{2,4}\Z")
