@@ -185,7 +185,7 @@ def test_shortened_ip6():
         assert P.replace(text, maker, {}) == (text, [])
 
 
-#: (text with the entity in braces); several scripts, formats that no pattern was made for.
+#: Texts with the entity in braces, in several scripts and formats.
 PLANTED = {
     "name": [
         "Dr {王小明} said", "Mr {田中} {太郎} came", "Prof {محمد} x", "Dr. {Ağaoğlu} of", "Mr {Łukasz} {Šimčák}.", "Prof. {יוסף} {כהן}, x", "Dr {राम} {कुमार} x", "Mr {Yıldız} a", "Herr {Grüßner} und", "Señora {Núñez} dijo", "госпожа {Ольга} {Петрова} и", "Κύριος {Νίκος} {Παπάς} και",
@@ -201,7 +201,7 @@ PLANTED = {
 
 @pytest.mark.parametrize("seed", range(4))
 def test_no_script_is_copied(seed):
-    """Recall on a list made without the patterns, and no original nor two of its letters in a row at their places."""
+    """Recall on the list, and no original nor two of its letters in a row at their places."""
     maker = P.Surrogates(b"%d" % seed)
     for kind, cases in PLANTED.items():
         caught = 0
