@@ -13,7 +13,8 @@ only marks and signs stay. Check digits are made anew; a given name becomes one
 and script; a name keeps its script, vowels and consonants; upper and lower case stay. A draw that
 holds the original, or two letters in a row of a short one at their places, is made again. Mentions
 are brought to one canonical form first (digits of a number, lower case of an address), so one entity
-gets one surrogate in all its spellings and in all documents, with no table of entities.
+gets one surrogate in all its spellings and in all documents, with no table of entities. A word of an
+address has the surrogate that it would have as a name, unless one of the two had to be drawn again.
 
 The key is the session's ``spark.lodestar.pii.secret``. Where that is unset, a random key is made that
 only this application ever has: nobody can undo its surrogates, and another run gives other ones.
@@ -87,8 +88,10 @@ _NO_DIGITS = bytes(range(0xD9))
 _ASCII_RUNS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
 #: The first run of ASCII letters of each title and given name that has one.
 _TITLE_RUNS, _GIVEN_RUNS = (frozenset(x for n in names if (x := (re.match("[A-Za-z]*", n)[0]).encode())) for names in ([t for x in TITLES.values() for t in x], [n for x in GIVEN.values() for n in x]))
+_LOCAL_WORDS = re.compile(r"(?<![^\W_])[^\W\d_]{3,}(?![^\W_])")
 _SAYS = ("y name is", "ein name ist", "ch heiße", "e m'appelle", "e m’appelle", "e llamo", "i nombre es")
 _GENDER = {n: key for key, names in GIVEN.items() for n in names}
+_GIVEN_LOWER = frozenset(n.lower() for n in _GENDER)
 _LETTER = _ranges("Lu Ll Lt Lm Lo Mn Mc") + "\U00010000-\U0001efff\U00020000-\U0003ffff"
 #: Up to four ideographs or Korean syllables, or a word that does not begin with a small letter.
 _FIRST = _ranges("Lu Lt Lo")
@@ -286,7 +289,16 @@ class Surrogates:
         if kind == "email":  # the address at its own domain, which has a surrogate of its own
             local, _, domain = value.partition("@")
             local += LOWER[0] * more
-            return f"{self._mixed(label, local, [alphabet(c) for c in local])}@{domain}"
+            classes, names = [alphabet(c) for c in local], {}
+            if attempt == "0":  # words that could be names have the surrogates of these
+                for m in _LOCAL_WORDS.finditer(local):
+                    if m[0] not in _GIVEN_LOWER:
+                        names[m.start()] = self.surrogate("name", m[0], 0)
+                        classes[m.start() : m.end()] = [""] * len(m[0])
+            local = self._mixed(label, local, classes)
+            for at, new in names.items():
+                local = local[:at] + new + local[at + len(new) :]
+            return f"{local}@{domain}"
         if kind == "domain":
             first, *labels, last = value.split(".")
             return ".".join([*(self._mixed(label, x, [alphabet(c) for c in x]) for x in (first + LOWER[0] * more, *labels)), last])

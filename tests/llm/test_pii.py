@@ -282,3 +282,9 @@ def test_cards_are_those_of_issuers():
         assert [k for *_, k, _ in P.detect(new)] == ["card"]
     for other in ("2111111111111113", "5900000000000000", "7000000000000005", "1234567890123452"):  # with right check digits
         assert P.replace(f"id {other} x", maker, {})[1] == []
+
+
+def test_addresses_made_from_names():
+    new, _ = P.replace("Dr. Weber: john.weber@firma-nord.de, weber_7@x.org, weber34@x.org; Frau Anna Núñez, a.núñez@x.org", P.Surrogates(KEY), {})
+    m = re.fullmatch(r"Dr\. (\w+): (\w+)\.(\w+)@\S+, ([^\W\d_]+)_\d@\S+, (\w+)\d\d@\S+; Frau (\w+) (\w+), (\w)\.(\w+)@\S+", new)
+    assert m[1].lower() == m[3] == m[4] != m[5] and "weber" not in new.lower() and "john" not in new and m[7].lower() == m[9]
