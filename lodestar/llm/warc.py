@@ -298,7 +298,7 @@ def write(ws: Workspace, pages: DataFrame, seconds: Column, run_lines: int = RUN
     return made.filter("kind = 'file'").select(F.col("name").alias("file"), F.col("n").alias("records")), found
 
 
-def merge(ws: Workspace, made: list[dict], range_lines: int = RANGE_LINES, fan_in: int = FAN_IN) -> list[dict]:
+def merge(ws: Workspace, made: list[dict], range_lines: int = RANGE_LINES, fan_in: int = FAN_IN, fence: int = FENCE) -> list[dict]:
     """Merge the runs into files in global order; returns them in that order, with their numbers of lines."""
     spark, folder, level = ws.spark, ws.path("archive"), 0
 
@@ -327,7 +327,7 @@ def merge(ws: Workspace, made: list[dict], range_lines: int = RANGE_LINES, fan_i
             for batch in batches:
                 for k in batch.column("id").to_pylist():
                     group, low, high = tasks[k]
-                    run = RunWriter(folder, f"{name}-{k:06d}")
+                    run = RunWriter(folder, f"{name}-{k:06d}", fence)
                     for line in LoserTree([lines(x, low, high) for x in groups[group]]):
                         run.add(line)
                     yield _run_batch([run.close()])

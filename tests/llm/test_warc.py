@@ -82,7 +82,7 @@ def test_ranges_split_one_hot_key(spark):
     assert len(made) >= 13
     want = sorted(x for r in made for x in W.run_lines(ws.path("archive"), r["name"]))
     for fan_in in (2, 4, 128):  # four levels, two, one
-        merged = W.merge(ws, made, range_lines=60, fan_in=fan_in)
+        merged = W.merge(ws, made, range_lines=60, fan_in=fan_in, fence=4)
         assert [x for r in merged for x in W.run_lines(ws.path("archive"), r["name"])] == want
         assert len(merged) >= 4 and max(r["lines"] for r in merged) < 4 * 60
 
